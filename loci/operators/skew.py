@@ -33,10 +33,10 @@ def _ranged(freq: DataFrame, value: str, ranges: int) -> DataFrame:
     cuts = freq.agg(
         F.percentile_approx(F.col(value), [i / ranges for i in range(1, ranges)], 1000).alias("cuts")
     )
-    # The one-row sketch result is of fixed size (ranges - 1 numbers), whatever the data.
-    return freq.crossJoin(F.broadcast(cuts)).withColumn(
-        "__range", F.size(F.filter("cuts", lambda c: c < F.col(value)))
-    ).drop("cuts")
+    # A scalar subquery of fixed size (ranges - 1 numbers), whatever the data.
+    return freq.withColumn("__cuts", cuts.scalar()).withColumn(
+        "__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    ).drop("__cuts")
 
 
 def cumulative(freq: DataFrame, keys: Sequence[str], value: str, ranges: int = VALUE_RANGES) -> DataFrame:
@@ -123,9 +123,7 @@ def heavy_values(df: DataFrame, key: str, within: str, min_share: float) -> Data
     """
     freq = value_frequencies(df.select(F.col(key).alias("__key"), F.col(within).alias("__value")), ["__key"], "__value")
     per_key = freq.groupBy("__key").agg(F.sum("n").alias("n_rows"))
-    total = per_key.agg(F.sum("n_rows").alias("__total"))  # one row
-    return (
-        per_key.crossJoin(F.broadcast(total))
-        .where(F.col("__key").isNotNull() & (F.col("n_rows") >= F.lit(min_share) * F.col("__total")))
-        .select(F.col("__key").alias(key), "n_rows")
-    )
+    total = per_key.agg(F.sum("n_rows").alias("__total"))
+    return per_key.where(
+        F.col("__key").isNotNull() & (F.col("n_rows") >= F.lit(min_share) * total.scalar())
+    ).select(F.col("__key").alias(key), "n_rows")
