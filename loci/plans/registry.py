@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loci.plans import skew
+from loci.plans import base, embedding, relations, skew, texts  # noqa: F401
 
-FLAGSHIP = "p5_counts"
-QUERIES = {**skew.QUERIES}
-ORACLES = {**skew.ORACLES}
+FLAGSHIP = "op_retrieve"
+QUERIES = {**skew.QUERIES, **base.QUERIES}
+ORACLES = {**skew.ORACLES, **base.ORACLES}
