@@ -12,7 +12,7 @@ from loci.functions import lists as L
 MOST, LEAST_CHARS, MOST_BYTES = 6, 2, 80
 
 _QUOTED = re.compile(r"[\"“]([^\"”\n]{2,80})[\"”]")
-_CAPITAL = r"[A-Z][\w'’.&-]*"
+_CAPITAL = r"[A-Z][\w'’&-]*(?:\.(?=\w)[\w'’&-]+)*"
 _RUN = re.compile(rf"(?<![0-9A-Za-z_]){_CAPITAL}(?:\s+(?:(?:of|the|de|van|von|del|la|le|and|&)\s+)*{_CAPITAL})*")
 _OPENING = re.compile(r"(?:^|[.!?:]\s+|\n\s*|[\"“]\s*)$")
 _EDGE = ".,;:!?\"'“”()[]{}"

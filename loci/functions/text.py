@@ -72,7 +72,7 @@ def fnv1a32(text: Column) -> Column:
 def utterances(text: Column) -> Column:
     """Lines, and the pieces of a line that start with a speaker label after the end of a sentence."""
     marked = F.regexp_replace(text, r"([.!?])[ \t]+(?=[A-Z][A-Za-z0-9_]{0,28}: )", "$1\n")
-    pieces = F.transform(F.split(marked, r"\n"), F.trim)
+    pieces = F.transform(F.split(marked, r"\n"), lambda p: F.trim(p))
     return F.filter(pieces, lambda p: p != "")
 
 
@@ -190,18 +190,30 @@ def refines(a: Column, b: Column) -> Column:
     return F.slice(a, F.lit(1), short) == F.slice(b, F.lit(1), short)
 
 
-def contradiction(new: Column, old: Column, new_tags: Column, old_tags: Column) -> Column:
-    """Struct (reason, confidence) of the first rule that holds, or null."""
-    overlap = jaccard(significant_words(new), significant_words(old))
-    tags = tag_ratio(new_tags, old_tags)
-    replaced = _has_any(F.lower(new), L.REPLACEMENT_MARKS) & ((overlap >= 0.15) | (tags >= 0.3))
+def contradiction_features(text: Column, tags: Column) -> Column:
+    """What the contradiction rules need of one memory; worked out once per memory, before memories are paired."""
+    return F.struct(
+        significant_words(text).alias("words"),
+        significant_words(without_negation(text)).alias("plain"),
+        triples(text).alias("triples"),
+        has_negation(text).alias("denied"),
+        _has_any(F.lower(text), L.REPLACEMENT_MARKS).alias("replaces"),
+        tags.alias("tags"),
+    )
+
+
+def contradiction(new: Column, old: Column) -> Column:
+    """Struct (reason, confidence) of the first rule that holds between two feature structs, or null."""
+    overlap = jaccard(new["words"], old["words"])
+    tags = tag_ratio(new["tags"], old["tags"])
+    replaced = new["replaces"] & ((overlap >= 0.15) | (tags >= 0.3))
     clash = F.exists(
-        triples(new),
-        lambda x: F.exists(triples(old), lambda y: (x["verb"] == y["verb"]) & (x["subject"] == y["subject"]) & (x["object"] != y["object"]) & ~refines(x["object"], y["object"])),
+        new["triples"],
+        lambda x: F.exists(old["triples"], lambda y: (x["verb"] == y["verb"]) & (x["subject"] == y["subject"]) & (x["object"] != y["object"]) & ~refines(x["object"], y["object"])),
     )
-    plain = jaccard(significant_words(without_negation(new)), significant_words(without_negation(old)))
-    denied = (plain >= 0.4) & (has_negation(new) != has_negation(old))
-    vague = (F.size(new_tags) > 0) & (F.size(old_tags) > 0) & (tags >= 0.5) & (plain >= 0.3) & (plain < 0.8)
+    plain = jaccard(new["plain"], old["plain"])
+    denied = (plain >= 0.4) & (new["denied"] != old["denied"])
+    vague = (F.size(new["tags"]) > 0) & (F.size(old["tags"]) > 0) & (tags >= 0.5) & (plain >= 0.3) & (plain < 0.8)
     made = lambda reason, c: F.struct(F.lit(reason).alias("reason"), F.lit(c).alias("confidence"))
     return F.when(replaced, made("replacement", 0.9)).when(clash, made("property", 0.85)).when(denied, made("negation", 0.8)).when(vague, made("tags", 0.5))
 
@@ -232,7 +244,7 @@ def turn_key(conversation: Column, turn: Column) -> Column:
 def without_fence(text: Column) -> Column:
     """The inside of a Markdown code fence, or the text itself, trimmed."""
     inner = F.regexp_extract(text, r"(?s)```[A-Za-z]*\s*\n?(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(text))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(text), r"^\s+|\s+$", "")
 
 
 def redacted_url(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loci.functions import text as X
 from loci.functions import vector as V
+from loci.runtime import stored
 
 # Fixed values.
 SUPERSEDE_CANDIDATES, LINK_CANDIDATES, MOST_SUPERSEDES, MOST_LINKS = 50, 10, 5, 5
@@ -25,12 +26,13 @@ def contradictions(new: DataFrame, memories: DataFrame, candidates: int = SUPERS
 
     ``candidates`` newest of a project are compared, as the write path does; that is its rule, not a cap of this engine.
     """
-    old = newest(memories.where("type = 'semantic'"), candidates, "content", "tags").select(
-        F.col("id").alias("old_id"), "project_id", F.col("content").alias("old"), F.col("tags").alias("old_tags")
-    )
-    fresh = new.where("type = 'semantic' and content is not null").select(F.col("id").alias("new_id"), "project_id", F.col("content").alias("new"), F.col("tags").alias("new_tags"))
-    pairs = fresh.join(old.where("old is not null"), "project_id").where("new_id <> old_id")
-    found = pairs.withColumn("c", X.contradiction(F.col("new"), F.col("old"), F.col("new_tags"), F.col("old_tags")))
+    recent = newest(memories.where("type = 'semantic' and content is not null"), candidates, "content", "tags")
+    features = lambda name: X.contradiction_features(F.col("content"), F.col("tags")).alias(name)
+    # Stored between: else the optimizer would move the features behind the join and work them out per pair.
+    old = stored(recent.select(F.col("id").alias("old_id"), "project_id", features("old")), "old")
+    fresh = stored(new.where("type = 'semantic' and content is not null").select(F.col("id").alias("new_id"), "project_id", features("new")), "fresh")
+    pairs = fresh.join(old, "project_id").where("new_id <> old_id")
+    found = pairs.select("new_id", "old_id", X.contradiction(F.col("new"), F.col("old")).alias("c"))
     return found.where(F.col("c.confidence") >= LEAST_CONFIDENCE).select("new_id", "old_id", "c.reason", "c.confidence")
 
 
@@ -43,9 +45,9 @@ def supersessions(found: DataFrame, most: int = MOST_SUPERSEDES) -> DataFrame:
 
 def vector_neighbours(new: DataFrame, embeddings: DataFrame, dim: int, most: int = LINK_CANDIDATES) -> DataFrame:
     """``(new_id, other_id, similarity)``: the ``most`` nearest vectors of the project, itself left out."""
-    stored = embeddings.where(V.is_usable(F.col("embedding"), dim)).select(F.col("memory_id").alias("other_id"), "project_id", F.col("embedding").alias("b"))
-    asked = new.select(F.col("id").alias("new_id"), "project_id").join(stored.select(F.col("other_id").alias("new_id"), F.col("b").alias("a")), "new_id")
-    pairs = asked.join(stored, "project_id").where("new_id <> other_id")
+    known = embeddings.where(V.is_usable(F.col("embedding"), dim)).select(F.col("memory_id").alias("other_id"), "project_id", F.col("embedding").alias("b"))
+    asked = new.select(F.col("id").alias("new_id"), "project_id").join(known.select(F.col("other_id").alias("new_id"), F.col("b").alias("a")), "new_id")
+    pairs = asked.join(known, "project_id").where("new_id <> other_id")
     rows = pairs.select("new_id", "other_id", V.cosine(F.col("a"), F.col("b")).alias("similarity")).where("similarity is not null")
     rank = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc(F.round("similarity", 9)), "other_id"))
     return rows.withColumn("n", rank).where(F.col("n") <= most).drop("n")
@@ -94,9 +96,9 @@ def store(new: DataFrame, memories: DataFrame, embeddings: DataFrame, edges: Dat
     from loci.operators.graph import add_edges
     from loci.operators.memories import duplicates_by_hash
 
-    stored = duplicates_by_hash(new, memories)
-    again = stored.where("existing_id is not null").select(F.col("id").alias("new_id"), F.col("existing_id").alias("old_id"), F.lit("equivalent").alias("verdict"))
-    fresh = stored.where("existing_id is null").drop("existing_id")
+    judged = duplicates_by_hash(new, memories)
+    again = judged.where("existing_id is not null").select(F.col("id").alias("new_id"), F.col("existing_id").alias("old_id"), F.lit("equivalent").alias("verdict"))
+    fresh = judged.where("existing_id is null").drop("existing_id")
     vectors = embeddings.unionByName(fresh.select(F.col("id").alias("memory_id"), "project_id", "embedding", now.alias("created_at")).select(*embeddings.columns))
     if fold:
         known = fresh.select("id", "project_id")

@@ -260,7 +260,7 @@ NAMES = "nm AS (SELECT men.project_id, men.normalized_name, asked.query_id FROM
 
 def chain(pool_kw: int = 50, pool_vec: int = 50, pool_ent: int = 25, fusion: str = "minmax") -> str:
     relevance = {
-        "minmax": "(0.45 * least(1.0, kwsig) + 0.4 * coalesce(CASE WHEN hi <= lo THEN 1.0 ELSE (cosine - lo) / (hi - lo) END, 0.0) + 0.15 * overlap)",
+        "minmax": "(0.45 * least(1.0, kwsig) + 0.4 * CASE WHEN cosine IS NULL THEN 0.0 WHEN hi <= lo THEN 1.0 ELSE (cosine - lo) / (hi - lo) END + 0.15 * overlap)",
         "linear": "(0.45 * CASE WHEN coalesce(kw_raw, 0) <= 0 THEN 0.0 ELSE 1 / (1 + exp(-(2.3 / (0.04 * terms)) * (kw_raw - 0.04 * terms))) END + 0.4 * greatest(0.0, least(1.0, coalesce(cosine, 0.0))) + 0.15 * overlap)",
         "rrf": "(coalesce(0.45 / (60 + kw_rank), 0) + coalesce(0.4 / (60 + vec_rank), 0) + 0.15 / 61 * overlap) / (1.0 / 61)",
     }[fusion]
@@ -429,10 +429,14 @@ def _(t):
 
 from loci.plans.texts import final_sql  # noqa: E402
 
-FINAL = f"""ranked AS (
-  SELECT cand.query_id, cand.id, relevance, mem.id IN (SELECT to_id FROM edg WHERE relationship = 'supersedes') AS superseded,
+FINAL = f"""fall AS (
+  SELECT a.query_id, mem.id FROM asked a JOIN mem ON mem.project_id = a.project_id WHERE a.query_id NOT IN (SELECT query_id FROM qt)
+  QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY created_at DESC, mem.id) <= 50),
+every AS (SELECT query_id, id, relevance FROM cand UNION ALL SELECT query_id, id, 0.0 FROM fall WHERE (query_id, id) NOT IN (SELECT query_id, id FROM cand)),
+ranked AS (
+  SELECT every.query_id, every.id, relevance, mem.id IN (SELECT to_id FROM edg WHERE relationship = 'supersedes') AS superseded,
     round({final_sql('relevance', "mem.id IN (SELECT to_id FROM edg WHERE relationship = 'supersedes')")}, 9) AS score
-  FROM cand JOIN mem ON mem.id = cand.id),
+  FROM every JOIN mem ON mem.id = every.id),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ranked QUALIFY rank <= 5)"""
 FINAL_SQL = f"WITH {chain()}, {FINAL} SELECT query_id, rank, id, superseded, round(score, 6)::DOUBLE AS score FROM best"
 
@@ -582,8 +586,13 @@ def _(t):
 
 @query("op_fold_store")
 def _(t):
-    near = ingest.vector_neighbours(t.memories.select("id", "project_id"), t.embeddings, DIM)
-    return ingest.folds(t.memories, t.memories, near)
+    """The newest memory of each project as new, folded into all the others."""
+    new = newest_per_project(t)
+    out = ingest.store(
+        new.join(t.embeddings.select(F.col("memory_id").alias("id"), "embedding"), "id").withColumn("id", F.concat(F.lit("new-"), "id")).withColumn("content", F.concat(F.lit("again "), "content")),
+        t.memories, t.embeddings.withColumn("created_at", t.now), t.edges, DIM, t.now,
+    )
+    return out["folded"]
 
 
 def conversation_rows(t):

@@ -206,8 +206,9 @@ def _(t):
 
 @query("txt_contradict")
 def _(t):
-    c = X.contradiction(F.col("new"), F.col("old"), F.col("new_tags"), F.col("old_tags"))
-    return pairs(t).withColumn("c", c).where("c is not null").select("new_id", "old_id", "c.reason", "c.confidence")
+    features = X.contradiction_features
+    both = pairs(t).select("new_id", "old_id", features(F.col("new"), F.col("new_tags")).alias("a"), features(F.col("old"), F.col("old_tags")).alias("b"))
+    return both.withColumn("c", X.contradiction(F.col("a"), F.col("b"))).where("c is not null").select("new_id", "old_id", "c.reason", "c.confidence")
 
 
 _LEX = """(SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE avg(CASE WHEN list_contains(list_transform(tags, lambda g: lower(g)), k) THEN 1.0 WHEN contains(lower(content), k) THEN 0.75 ELSE 0.0 END) END
@@ -240,7 +241,7 @@ def _(t):
     return t.raw("eval_items").select("item_id", X.turn_key(F.col("conversation"), F.col("item_id").cast("string")).alias("key"))
 
 
-@query("txt_fence", r"SELECT doc_id, md5(trim(CASE WHEN regexp_extract(text, '(?s)```[A-Za-z]*\s*\n?(.*?)```', 1) <> '' THEN regexp_extract(text, '(?s)```[A-Za-z]*\s*\n?(.*?)```', 1) ELSE text END)) AS digest FROM documents WHERE text IS NOT NULL")
+@query("txt_fence", r"SELECT doc_id, md5(regexp_replace(CASE WHEN regexp_extract(text, '(?s)```[A-Za-z]*\s*\n?(.*?)```', 1) <> '' THEN regexp_extract(text, '(?s)```[A-Za-z]*\s*\n?(.*?)```', 1) ELSE text END, '^\s+|\s+$', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def _(t):
     return t.raw("documents").where("text is not null").select("doc_id", F.md5(X.without_fence(F.col("text"))).alias("digest"))
 

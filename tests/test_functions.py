@@ -86,13 +86,13 @@ def test_subsumption(spark, new, old, verdict):
         ("We switched to Postgres for the ledger", "The ledger uses MySQL for the ledger", [], 0.9),
         ("the gateway uses redis", "the gateway uses kafka", [], 0.85),
         ("the gateway uses redis cluster", "the gateway uses redis", [], None),
-        ("the gateway is not stable under load", "the gateway is stable under load", [], 0.8),
+        ("we never deploy the gateway on friday", "we deploy the gateway on friday", [], 0.8),
         ("tea is nice", "rust compiles code", [], None),
     ],
 )
 def test_contradiction(spark, new, old, tags, confidence):
     row = spark.createDataFrame([(new, old, tags, tags)], "a string, b string, x array<string>, y array<string>")
-    r = row.select(X.contradiction(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("r")).first()["r"]
+    r = row.select(X.contradiction(X.contradiction_features(F.col("a"), F.col("x")), X.contradiction_features(F.col("b"), F.col("y"))).alias("r")).first()["r"]
     assert (r and r["confidence"]) == confidence
 
 
@@ -141,10 +141,10 @@ def test_superseded_loses_to_its_successor(spark):
 def test_vectors(spark):
     row = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0], [0.0, 0.0], [float("nan"), 1.0])], "a array<float>, b array<float>, z array<float>, n array<float>")
     r = row.select(
-        V.cosine(F.col("a"), F.col("b")).alias("c"), V.cosine(F.col("a"), F.col("z")).alias("z"), V.is_zero(F.col("z")).alias("zero"), V.is_usable(F.col("n"), 2).alias("nan"),
+        V.cosine(F.col("a"), F.col("b")).alias("cos"), V.cosine(F.col("a"), F.col("z")).alias("with_zero"), V.is_zero(F.col("z")).alias("zero"), V.is_usable(F.col("n"), 2).alias("nan"),
         V.l2_normalized(F.col("z")).alias("same"),
     ).first()
-    assert abs(r["c"] - 0.8) < 1e-9 and r["z"] is None and r["zero"] and not r["nan"] and list(r["same"]) == [0.0, 0.0]
+    assert abs(r["cos"] - 0.8) < 1e-9 and r["with_zero"] is None and r["zero"] and not r["nan"] and list(r["same"]) == [0.0, 0.0]
 
 
 def test_entities():

@@ -7,7 +7,10 @@ from loci import schema
 from loci.operators import embed, evaluate, extract, graph, ingest, maintain, memories, profile, retrieve, skew
 
 T0 = dt.datetime(2026, 1, 1)
-NOW = F.lit("2026-06-01 00:00:00").cast("timestamp")
+
+def now():
+    return F.lit("2026-06-01 00:00:00").cast("timestamp")
+
 
 
 def mem(spark, *rows):
@@ -128,7 +131,7 @@ def test_rare_terms_outrank_common_ones_and_tags_are_searched(spark):
 def test_query_batch_with_fallback_and_other_project(spark):
     m = memories.current(mem(spark, ("a", "redis holds the cache", "semantic", "p", [], 1, 0), ("b", "kafka holds events", "semantic", "p", [], 2, 0), ("c", "redis too", "semantic", "other", [], 3, 0)))
     q = spark.createDataFrame([("1", "redis", "p"), ("2", "what is it", "p"), ("3", "redis", None), ("4", "unknownword", "p")], "query_id string, text string, project_id string")
-    got = retrieve.query_batch(q, m, None, None, edg(spark), NOW).collect()
+    got = retrieve.query_batch(q, m, None, None, edg(spark), now()).collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["relevance"]))
@@ -141,7 +144,7 @@ def test_entity_hop_reaches_memories_without_common_words(spark):
     m = memories.current(mem(spark, ("a", "it went down again", "semantic", "p", [], 1, 0), ("b", "it went down again", "semantic", "x", [], 1, 0)))
     men = spark.createDataFrame([("a", "atlas", "p"), ("b", "atlas", "x")], "memory_id string, normalized_name string, project_id string")
     q = spark.createDataFrame([("1", "atlas", "p", ["Atlas"])], "query_id string, text string, project_id string, entities array<string>")
-    got = retrieve.query_batch(q, m, None, men, edg(spark), NOW).collect()
+    got = retrieve.query_batch(q, m, None, men, edg(spark), now()).collect()
     assert [r["id"] for r in got] == ["a"] and got[0]["relevance"] > 0
 
 
@@ -151,7 +154,7 @@ def test_vector_only_candidates_need_the_gate(spark):
     q = spark.createDataFrame([("1", "zzz", "p", [1.0, 0.0])], "query_id string, text string, project_id string, embedding array<float>")
     from loci.config import EngineConfig
 
-    got = retrieve.query_batch(q, m, emb, None, edg(spark), NOW, EngineConfig(dim=2)).collect()
+    got = retrieve.query_batch(q, m, emb, None, edg(spark), now(), EngineConfig(dim=2)).collect()
     assert [r["id"] for r in got] == ["near"]
 
 
@@ -177,7 +180,7 @@ def test_store_twice_adds_nothing_and_denials_stay_apart(spark):
     emb = spark.createDataFrame([("a", "p", [1.0, 0.0], T0)], schema.EMBEDDINGS)
     new = mem(spark, ("n1", "The build runs on Linux!", "semantic", "p", ["ci"], 9, 0), ("n2", "the build never runs on linux", "semantic", "p", ["CI"], 9, 0), ("n3", "the nightly build runs on linux", "semantic", "p", [], 9, 0))
     new = new.join(spark.createDataFrame([("n1", [1.0, 0.0]), ("n2", [0.9, 0.1]), ("n3", [0.95, 0.05])], "id string, embedding array<float>"), "id")
-    out = ingest.store(new, m, emb, edg(spark), 2, NOW)
+    out = ingest.store(new, m, emb, edg(spark), 2, now())
     rows = {r["id"]: r for r in out["memories"].collect()}
     assert set(rows) == {"a", "n2"} and rows["a"]["content"] == "the nightly build runs on linux" and rows["a"]["access_count"] == 2
     made = {(r["from_id"], r["to_id"], r["relationship"]) for r in out["edges"].collect()}
@@ -186,21 +189,21 @@ def test_store_twice_adds_nothing_and_denials_stay_apart(spark):
 
 def test_consolidation_is_idempotent(spark):
     m = mem(spark, ("a", "same", "semantic", "p", [], 1, 0), ("b", "same", "semantic", "p", [], 5, 0), ("c", "same", "semantic", "q", [], 5, 0), ("d", "same", "episodic", "p", [], 5, 0))
-    e = maintain.merge_phase(m, edg(spark), NOW)
+    e = maintain.merge_phase(m, edg(spark), now())
     assert [(r["from_id"], r["to_id"]) for r in e.collect()] == [("b", "a")]
-    assert maintain.merge_phase(m, e, NOW).count() == 1
+    assert maintain.merge_phase(m, e, now()).count() == 1
     assert maintain.degraded(2, 10) and not maintain.degraded(1, 10) and not maintain.degraded(0, 0)
 
 
 def test_prune_needs_all_three_signs(spark):
     m = mem(spark, ("old", "x", "semantic", "p", [], -400, 0), ("read", "x", "semantic", "p", [], -400, 5), ("new", "x", "semantic", "p", [], 150, 0))
-    aged = maintain.decay_phase(m, NOW)
-    assert [r["id"] for r in maintain.stale(aged, NOW).collect()] == ["old"]
+    aged = maintain.decay_phase(m, now())
+    assert [r["id"] for r in maintain.stale(aged, now()).collect()] == ["old"]
 
 
 def test_profile_sections(spark):
     m = mem(spark, ("s", "x", "semantic", "p", [], 0, 0), ("d", "x", "episodic", "p", [], 150, 0), ("o", "x", "episodic", "p", [], 10, 0))
-    got = {r["id"]: r["section"] for r in profile.profiles(m, NOW, 0, 7).collect()}
+    got = {r["id"]: r["section"] for r in profile.profiles(m, now(), 0, 7).collect()}
     assert got == {"s": "static", "d": "dynamic"}
     assert profile.profile_totals(m).first()["total"] == 3
 

@@ -5,7 +5,11 @@ import pytest
 from loci.plans import registry
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+# Names that share one SQL are one query under several inventory names; it is compared once.
+ONCE = {sql: name for name, sql in sorted(registry.ORACLES.items(), reverse=True)}
+
+
+@pytest.mark.parametrize("name", sorted(ONCE.values()))
 def test_same_as_sql(name, same_as_sql):
     same_as_sql(registry.QUERIES[name], registry.ORACLES[name])
 
