@@ -14,6 +14,7 @@ from loci.config import EngineConfig, pools
 from loci.functions import scoring as S
 from loci.functions import text as X
 from loci.functions import vector as V
+from loci.runtime import stored
 
 
 #: Unscoped queries that are broadcast at once.
@@ -62,9 +63,11 @@ def term_weights(terms: DataFrame, posted: DataFrame, memories: DataFrame) -> Da
 
 def keyword_pool(terms: DataFrame, weights: DataFrame, posted: DataFrame, pool: Column) -> DataFrame:
     """``(query_id, id, kw_raw, kw_rank)``: the ``pool`` best memories of each query by the sum of idf times 0.1 per match."""
-    w = weights.select("query_id", F.col("project_id").alias("scope"), F.col("term").alias("token"), "times", "idf")
-    hits = posted.join(w, "token").where(F.col("scope").isNull() | (F.col("scope") == F.col("project_id")))
-    raw = hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * S.RANK_PER_TERM * F.col("tf")).alias("kw_raw"))
+    w = weights.select("query_id", "project_id", F.col("term").alias("token"), "times", "idf")
+    # Scoped terms meet the postings of their project only; a filter after a join on the token alone would meet all.
+    scoped = posted.join(w.where("project_id is not null"), ["project_id", "token"]).select("query_id", "id", "times", "idf", "tf")
+    free = posted.drop("project_id").join(w.where("project_id is null").drop("project_id"), "token").select("query_id", "id", "times", "idf", "tf")
+    raw = scoped.unionByName(free).groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * S.RANK_PER_TERM * F.col("tf")).alias("kw_raw"))
     raw = raw.where("kw_raw > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("kw_raw", 9)), "id"))
     return raw.withColumn("kw_rank", rank).where(F.col("kw_rank") <= pool)
@@ -183,20 +186,23 @@ def with_context(results: DataFrame, edges: DataFrame, memories: DataFrame) -> D
 
 
 def query_batch(
-    queries: DataFrame, memories: DataFrame, embeddings: DataFrame | None, mentions: DataFrame | None, edges: DataFrame, now: Column, config: EngineConfig | None = None, top_k: int = 5
+    queries: DataFrame, memories: DataFrame, embeddings: DataFrame | None, mentions: DataFrame | None, edges: DataFrame, now: Column, config: EngineConfig | None = None, top_k: int = 5,
+    posted: DataFrame | None = None,
 ) -> DataFrame:
     """Answer every row of ``queries(query_id, text, project_id[, embedding][, entities])`` in one plan.
 
     Result as of ``scored``. Queries whose words match nothing to search for fall back to the
-    newest memories of their scope with relevance 0, beside what the vectors give.
+    newest memories of their scope with relevance 0, beside what the vectors give. ``posted`` is a
+    prebuilt index as ``postings`` makes it.
     """
     config = (config or EngineConfig()).validate()
     most_kw, most_vec, most_ent = pools(top_k)
     pool_kw, pool_vec, pool_ent = F.lit(most_kw), F.lit(most_vec), F.lit(most_ent)
     spark = queries.sparkSession
-    posted = postings(memories)
+    # The index and the weighted terms are read several times below; they are written once.
+    posted = stored(postings(memories), "postings") if posted is None else posted
     terms = query_terms(queries)
-    weights = term_weights(terms, posted, memories)
+    weights = stored(term_weights(terms, posted, memories), "weights")
     keyword = keyword_pool(terms, weights, posted, pool_kw)
     if embeddings is not None and "embedding" in queries.columns:
         vector = vector_pool(queries, embeddings, pool_vec, config.dim)
@@ -211,9 +217,10 @@ def query_batch(
         entity = matches.select("query_id", "id")
     sums = idf_sums(weights)
     candidates = merged(keyword, vector, entity, matches, sums, config)
-    fallback = fallback_pool(queries, memories, most_kw).join(candidates.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    fallback = fallback.select("query_id", "id", F.lit(0.0).alias("relevance"))
-    return scored(candidates.select("query_id", "id", "relevance").unionByName(fallback), memories, edges, now, F.lit(top_k))
+    fallback = fallback_pool(queries, memories, most_kw).select("query_id", "id", F.lit(0.0).alias("relevance"))
+    # One aggregate instead of an anti-join, which would work the candidates out twice.
+    every = candidates.select("query_id", "id", "relevance").unionByName(fallback).groupBy("query_id", "id").agg(F.max("relevance").alias("relevance"))
+    return scored(every, memories, edges, now, F.lit(top_k))
 
 
 def fallback_pool(queries: DataFrame, memories: DataFrame, pool: int) -> DataFrame:

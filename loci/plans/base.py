@@ -8,10 +8,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loci.functions import text as X
 from loci.functions import vector as V
-from loci.operators import graph, memories
-from loci.runtime import table
+from loci.operators import graph, memories, retrieve
+from loci.runtime import stored, table
 
 #: The clock of every query and its SQL.
 NOW = "2026-10-01 00:00:00"
@@ -32,6 +31,16 @@ class Tables:
     def memories(self) -> DataFrame:
         return memories.current(self.raw("memories"))
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The cleaned memories, written once, for queries that read them many times."""
+        return stored(self.memories, "kept")
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """Postings, written once."""
+        return stored(retrieve.postings(self.kept), "postings")
+
     @cached_property
     def embeddings(self) -> DataFrame:
         """Usable vectors, each memory once."""
@@ -53,11 +62,12 @@ class Tables:
     @cached_property
     def asked(self) -> DataFrame:
         """One question per project: its smallest memory id that has words and a vector is asked for again."""
-        both = self.memories.where("content is not null and project_id is not null").join(self.embeddings.select(F.col("memory_id").alias("id"), "embedding"), "id")
+        both = self.kept.where("content is not null and project_id is not null").join(self.embeddings.select(F.col("memory_id").alias("id"), "embedding"), "id")
         first = both.groupBy("project_id").agg(F.min_by(F.struct("id", "content", "embedding"), "id").alias("r"))
         names = self.mentions.groupBy(F.col("memory_id").alias("mid"), "project_id").agg(F.collect_set("normalized_name").alias("entities"))
         one = first.select(F.col("project_id").alias("query_id"), "project_id", F.col("r.id").alias("mid"), F.col("r.content").alias("text"), "r.embedding")
-        return one.join(names, ["mid", "project_id"], "left").select("query_id", "project_id", "mid", "text", "embedding", "entities")
+        full = one.join(names, ["mid", "project_id"], "left").select("query_id", "project_id", "mid", "text", "embedding", "entities")
+        return stored(full, "asked")
 
     @cached_property
     def questions(self) -> DataFrame:

@@ -12,7 +12,7 @@ from loci.functions import text as X
 from loci.operators import evaluate, extract, graph, ingest, maintain, memories, profile, retrieve, skew
 from loci.plans.base import ASKED, COSINE, DIM, EDG, EMB, MEM, MEN, SQL_NOW, posted, query, quoted, sql_keywords, sql_tokens
 from loci.plans.texts import DECAY, HOURS, sig
-from loci.runtime import table
+from loci.runtime import stored, table
 from loci.sources import conversations
 
 TJSON = "CASE WHEN len(tags) = 0 THEN '[]' ELSE '[\"' || array_to_string(tags, '\",\"') || '\"]' END"
@@ -291,14 +291,14 @@ cand AS (SELECT query_id, id, kw_raw, cosine, overlap, {relevance} AS relevance
 def pools(t):
     """(terms, weights, postings, keyword, vector, matches, entity) of the asked questions, for five results."""
     q = t.asked
-    posted_ = retrieve.postings(t.memories)
+    posted_ = t.index
     terms = retrieve.query_terms(q)
-    weights = retrieve.term_weights(terms, posted_, t.memories)
+    weights = stored(retrieve.term_weights(terms, posted_, t.kept), "weights")
     keyword = retrieve.keyword_pool(terms, weights, posted_, F.lit(50))
     vector = retrieve.vector_pool(q.select("query_id", "project_id", "embedding"), t.embeddings, F.lit(50), DIM)
     named = q.select("query_id", "project_id", F.explode("entities").alias("normalized_name"))
     matches = retrieve.entity_matches(named, t.mentions)
-    entity = retrieve.entity_pool(matches, t.memories, F.lit(25))
+    entity = retrieve.entity_pool(matches, t.kept, F.lit(25))
     return terms, weights, posted_, keyword, vector, matches, entity
 
 
@@ -445,7 +445,7 @@ def retrieved(t):
     from loci.config import EngineConfig
 
     full = t.asked.select("query_id", "text", "project_id", "embedding", "entities")
-    return retrieve.query_batch(full, t.memories, t.embeddings, t.mentions, t.edges, t.now, EngineConfig(dim=DIM), 5)
+    return retrieve.query_batch(full, t.kept, t.embeddings, t.mentions, t.edges, t.now, EngineConfig(dim=DIM), 5, t.index)
 
 
 for _name in ("op_retrieve", "api_query", "top_score"):
@@ -588,11 +588,8 @@ def _(t):
 def _(t):
     """The newest memory of each project as new, folded into all the others."""
     new = newest_per_project(t)
-    out = ingest.store(
-        new.join(t.embeddings.select(F.col("memory_id").alias("id"), "embedding"), "id").withColumn("id", F.concat(F.lit("new-"), "id")).withColumn("content", F.concat(F.lit("again "), "content")),
-        t.memories, t.embeddings.withColumn("created_at", t.now), t.edges, DIM, t.now,
-    )
-    return out["folded"]
+    again = new.withColumn("content", F.concat(F.lit("again "), "content"))
+    return ingest.folds(again, t.memories, ingest.vector_neighbours(new, t.embeddings, DIM))
 
 
 def conversation_rows(t):
