@@ -61,19 +61,17 @@ class Engine:
     def _ingest(self, rows: DataFrame, fold: bool) -> DataFrame:
         t = self.tables.tables()
         vectors = self._vectors(rows.select("id", F.col("content").alias("text")))
-        with_vector = rows.join(vectors, "id", "left")
+        with_vector = stored(rows.join(vectors, "id", "left"), "with_vector")
         out = ingest.store(with_vector.drop("session_id"), t["memories"], t["embeddings"], t["edges"], self.config.dim, self.now, fold)
-        named = extract.memory_entities(rows).join(rows.select("id", "project_id"), "id")
-        kept = out["memories"].join(rows.select("id"), "id", "left_semi")
-        entities, mentions = graph.link_entities(named.join(kept.select("id"), "id", "left_semi"), t["entities"], t["mentions"], self.now)
-        links = rows.where("session_id is not null").select(
+        kept = stored(rows.join(out["folded"].select(F.col("new_id").alias("id")), "id", "left_anti"), "rows")
+        named = stored(extract.memory_entities(kept).join(kept.select("id", "project_id"), "id"), "named")
+        entities, mentions = graph.link_entities(named, t["entities"], t["mentions"], self.now)
+        links = kept.where("session_id is not null").select(
             F.sha1(F.concat_ws("|", "session_id", "id")).alias("id"), F.col("session_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("relationship"),
             F.lit(1.0).alias("weight"), self.now.alias("created_at"),
         )
-        edges = out["edges"].unionByName(links.join(kept.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(*out["edges"].columns))
-        fixed = {name: stored(df, name) for name, df in (("memories", out["memories"]), ("embeddings", out["embeddings"]), ("edges", edges), ("entities", entities), ("mentions", mentions))}
-        for name, df in fixed.items():
-            self.tables.write(name, df)
+        edges = out["edges"].unionByName(links.select(*out["edges"].columns))
+        fixed = self.tables.write_all({"memories": out["memories"], "embeddings": out["embeddings"], "edges": edges, "entities": entities, "mentions": mentions})
         return fixed["memories"].join(rows.select("id"), "id", "left_semi")
 
     def extract(self, conversations: DataFrame, project_id: str) -> DataFrame:
@@ -112,14 +110,12 @@ class Engine:
         rows = new.withColumns({"id": F.sha1(F.concat_ws("|", "from_id", "to_id", "relationship")), "created_at": self.now}).select(*t["edges"].columns)
         after, effective = graph.connect(rows, t["edges"], t["memories"])
         effective = stored(effective, "effective")
-        self.tables.write("edges", stored(after, "edges"))
+        self.tables.write("edges", after)
         return effective
 
     def delete(self, ids: DataFrame) -> None:
         after = graph.delete(ids, self.tables.tables())
-        fixed = {name: stored(after[name], name) for name in ("memories", "embeddings", "edges", "mentions", "entities")}
-        for name, df in fixed.items():
-            self.tables.write(name, df)
+        self.tables.write_all({name: after[name] for name in ("memories", "embeddings", "edges", "mentions", "entities")})
 
     def graph(self, ident: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
         t = self.tables.tables()
@@ -131,11 +127,11 @@ class Engine:
 
     def start_session(self, agent_id: str, project_id: str, ident: str) -> None:
         new = self.spark.createDataFrame([(ident, project_id, agent_id)], "id string, project_id string, agent_id string").withColumn("started_at", self.now)
-        self.tables.write("sessions", stored(profile.start_sessions(new, self.tables.read("sessions")), "sessions"))
+        self.tables.write("sessions", profile.start_sessions(new, self.tables.read("sessions")))
 
     def end_session(self, ident: str) -> None:
         ends = self.spark.createDataFrame([(ident,)], "id string").withColumn("ended_at", self.now)
-        self.tables.write("sessions", stored(profile.end_sessions(ends, self.tables.read("sessions")), "sessions"))
+        self.tables.write("sessions", profile.end_sessions(ends, self.tables.read("sessions")))
 
     def stats(self) -> DataFrame:
         t = self.tables.tables()
@@ -147,11 +143,8 @@ class Engine:
         t["memories"] = stored(graph.with_access(t["memories"], t["access_log"]), "counted")
         report = stored(maintain.consolidation_report(t, self.now, self.config), "report")
         after = maintain.consolidate(t, self.now, self.config)
-        fixed = {name: stored(after[name], name) for name in ("memories", "embeddings", "edges", "mentions", "entities")}
-        for name, df in fixed.items():
-            self.tables.write(name, df)
         # The reads are in the counts now.
-        self.tables.write("access_log", t["access_log"].limit(0))
+        self.tables.write_all({name: after[name] for name in ("memories", "embeddings", "edges", "mentions", "entities")} | {"access_log": t["access_log"].limit(0)})
         return report
 
     def evaluate(self, questions: DataFrame, sources: DataFrame, evidence: DataFrame, k: int = 30) -> DataFrame:

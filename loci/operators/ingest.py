@@ -96,7 +96,8 @@ def store(new: DataFrame, memories: DataFrame, embeddings: DataFrame, edges: Dat
     from loci.operators.graph import add_edges
     from loci.operators.memories import duplicates_by_hash
 
-    judged = duplicates_by_hash(new, memories)
+    # What has the size of the batch is written once; the tables themselves are only read.
+    judged = stored(duplicates_by_hash(new, memories), "judged")
     again = judged.where("existing_id is not null").select(F.col("id").alias("new_id"), F.col("existing_id").alias("old_id"), F.lit("equivalent").alias("verdict"))
     fresh = judged.where("existing_id is null").drop("existing_id")
     vectors = embeddings.unionByName(fresh.select(F.col("id").alias("memory_id"), "project_id", "embedding", now.alias("created_at")).select(*embeddings.columns))
@@ -104,7 +105,8 @@ def store(new: DataFrame, memories: DataFrame, embeddings: DataFrame, edges: Dat
         known = fresh.select("id", "project_id")
         near_old = vector_neighbours(known, vectors, dim).join(memories.select(F.col("id").alias("other_id")), "other_id", "left_semi")
         again = again.unionByName(folds(fresh, memories, near_old))
-    kept = fresh.join(again.select(F.col("new_id").alias("id")), "id", "left_anti")
+    again = stored(again, "again")
+    kept = stored(fresh.join(again.select(F.col("new_id").alias("id")), "id", "left_anti"), "kept")
     upgraded = again.where("verdict = 'new_subsumes_old'").join(new.select(F.col("id").alias("new_id"), "content"), "new_id").groupBy(F.col("old_id").alias("id")).agg(F.min("content").alias("__better"))
     reads = again.groupBy(F.col("old_id").alias("id")).agg(F.count(F.lit(1)).alias("__reads"))
     old = memories.join(upgraded, "id", "left").join(reads, "id", "left")
@@ -116,8 +118,8 @@ def store(new: DataFrame, memories: DataFrame, embeddings: DataFrame, edges: Dat
         }
     ).select(*memories.columns)
     after = old.unionByName(kept.select(*memories.columns))
-    supers = supersessions(contradictions(kept, after))
-    near = vector_neighbours(kept.select("id", "project_id"), vectors, dim)
+    supers = stored(supersessions(contradictions(kept, after)), "supers")
+    near = stored(vector_neighbours(kept.select("id", "project_id"), vectors, dim), "near")
     links = autolinks(kept, after, near, supers)
-    made = supers.unionByName(links).withColumns({"id": F.sha1(F.concat_ws("|", "from_id", "to_id", "relationship")), "created_at": now})
+    made = stored(supers.unionByName(links).withColumns({"id": F.sha1(F.concat_ws("|", "from_id", "to_id", "relationship")), "created_at": now}), "made")
     return {"memories": after, "edges": add_edges(made.select(*edges.columns), edges, after), "folded": again, "embeddings": vectors.join(kept.select(F.col("id").alias("memory_id")).unionAll(memories.select("id")), "memory_id", "left_semi").select(*embeddings.columns)}

@@ -38,11 +38,25 @@ class Store:
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in schema.TABLES}
 
-    def write(self, name: str, df: DataFrame) -> None:
+    def prepare(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """Write a new version without making it the current one: (version, its rows)."""
         rows = schema.validate_schema(df, schema.TABLES[name])
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/_current")
+        return version, self.spark.read.schema(schema.TABLES[name]).parquet(f"{self.path}/{name}/{version}")
+
+    def publish(self, versions: dict[str, str]) -> None:
+        for name, version in versions.items():
+            self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/_current")
+
+    def write(self, name: str, df: DataFrame) -> None:
+        self.publish({name: self.prepare(name, df)[0]})
+
+    def write_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """New versions of several tables, made current together once all are written: a reader never sees half of a change that failed."""
+        made = {name: self.prepare(name, df) for name, df in tables.items()}
+        self.publish({name: version for name, (version, _) in made.items()})
+        return {name: df for name, (_, df) in made.items()}
 
     def append(self, name: str, df: DataFrame) -> None:
         """Add rows to the current version in place: appends never change rows that are there."""

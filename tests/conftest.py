@@ -14,6 +14,9 @@ DATA = "/root/testdata"
 def spark():
     session = build_session("tests", cores="4", shuffle_partitions=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
+    # The tables here are tiny: compiling each plan would take most of the time.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     shared_dir(session)
     yield session
 
