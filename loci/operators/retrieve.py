@@ -6,6 +6,11 @@ Everything is set-based: one plan answers all queries. Pools are long rows
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +22,7 @@ from loci.functions import vector as V
 from loci.runtime import stored
 
 
-#: Unscoped queries that are broadcast at once.
+#: Queries whose vectors are broadcast at once.
 QUERY_BLOCK = 10_000
 
 
@@ -78,24 +83,59 @@ def idf_sums(weights: DataFrame) -> DataFrame:
     return weights.groupBy("query_id").agg(F.sum(F.col("times") * F.col("idf")).alias("idf_sum"), F.sum("times").alias("terms"))
 
 
-def vector_pool(queries: DataFrame, embeddings: DataFrame, pool: Column, dim: int) -> DataFrame:
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _best_in_batch(batches: Iterator[pa.RecordBatch], shared, dim: int, pool: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch of vectors the rows that can be among the ``pool`` nearest of a query, by matrix products."""
+    names, unit, scopes = shared.value
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        vectors = _unit(batch.column(2), dim)
+        places: dict[str, list[int]] = {}
+        for i, place in enumerate(batch.column(1).to_pylist()):
+            if place is not None and place in scopes:
+                places.setdefault(place, []).append(i)
+        groups = [(np.array(rows), scopes[place]) for place, rows in places.items()]
+        if None in scopes:
+            groups.append((np.arange(batch.num_rows), scopes[None]))
+        for rows, asked in groups:
+            cos = unit[asked] @ vectors[rows].T
+            if rows.size > pool:
+                # Everything that ties with the last of the pool goes on; the final rank is by rounded cosine and id.
+                last = np.partition(cos, rows.size - pool, axis=1)[:, rows.size - pool]
+                q, r = np.nonzero(cos >= last[:, None] - 2e-9)
+            else:
+                q, r = (x.ravel() for x in np.indices(cos.shape))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[asked[i]] for i in q], pa.string()), batch.column(0).take(pa.array(rows[r])), pa.array(cos[q, r])], names=["query_id", "id", "cosine"]
+            )
+
+
+def vector_pool(queries: DataFrame, embeddings: DataFrame, pool: int, dim: int) -> DataFrame:
     """``(query_id, id, cosine, vec_rank)``: the ``pool`` nearest vectors of each query, exact, in its project if it names one.
 
-    ``queries`` is ``(query_id, project_id, embedding)``. Scoped queries meet only their project's
-    vectors (an equi-join); unscoped ones are a stated query set that meets all vectors, in counted
-    blocks of about ``QUERY_BLOCK`` queries, each broadcast.
+    ``queries`` is ``(query_id, project_id, embedding)``: a stated query set that meets the vectors
+    in counted blocks of about ``QUERY_BLOCK`` queries, each broadcast. The vectors never move; of
+    each batch only what can be in a pool goes to the final rank.
     """
     ok = V.is_usable(F.col("embedding"), dim)
-    stored = embeddings.where(ok).select(F.col("memory_id").alias("id"), F.col("project_id").alias("place"), F.col("embedding").alias("stored"))
-    asked = queries.where(ok).select("query_id", F.col("project_id").alias("scope"), F.col("embedding").alias("asked"))
-    scoped = stored.join(asked.where("scope is not null"), F.col("place") == F.col("scope"))
-    free = asked.where("scope is null")
-    blocks = max(1, -(-free.count() // QUERY_BLOCK))
-    both = scoped
+    known = embeddings.where(ok).select(F.col("memory_id").alias("id"), F.col("project_id").alias("place"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where(ok).select("query_id", "project_id", F.col("embedding").cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    both = None
     for b in range(blocks):
-        block = free.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        both = both.unionByName(stored.join(F.broadcast(block), F.lit(True)))
-    both = both.select("query_id", "id", V.cosine(F.col("asked"), F.col("stored")).alias("cosine")).where("cosine is not null")
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        scopes: dict[str | None, list[int]] = {}
+        for i, scope in enumerate(rows.column("project_id").to_pylist()):
+            scopes.setdefault(scope, []).append(i)
+        unit = _unit(rows.column("v").combine_chunks(), dim) if rows.num_rows else np.empty((0, dim))
+        shared = queries.sparkSession.sparkContext.broadcast((rows.column("query_id").to_pylist(), unit, {k: np.array(v) for k, v in scopes.items()}))
+        part = known.mapInArrow(functools.partial(_best_in_batch, shared=shared, dim=dim, pool=pool), "query_id string, id string, cosine double")
+        both = part if both is None else both.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id"))
     return both.withColumn("vec_rank", rank).where(F.col("vec_rank") <= pool)
 
@@ -197,7 +237,7 @@ def query_batch(
     """
     config = (config or EngineConfig()).validate()
     most_kw, most_vec, most_ent = pools(top_k)
-    pool_kw, pool_vec, pool_ent = F.lit(most_kw), F.lit(most_vec), F.lit(most_ent)
+    pool_kw, pool_ent = F.lit(most_kw), F.lit(most_ent)
     spark = queries.sparkSession
     # The index and the weighted terms are read several times below; they are written once.
     posted = stored(postings(memories), "postings") if posted is None else posted
@@ -205,7 +245,7 @@ def query_batch(
     weights = stored(term_weights(terms, posted, memories), "weights")
     keyword = keyword_pool(terms, weights, posted, pool_kw)
     if embeddings is not None and "embedding" in queries.columns:
-        vector = vector_pool(queries, embeddings, pool_vec, config.dim)
+        vector = vector_pool(queries, embeddings, most_vec, config.dim)
     else:
         vector = spark.createDataFrame([], "query_id string, id string, cosine double, vec_rank int")
     if mentions is not None and "entities" in queries.columns and config.graph_signals:

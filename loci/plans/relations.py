@@ -295,7 +295,7 @@ def pools(t):
     terms = retrieve.query_terms(q)
     weights = stored(retrieve.term_weights(terms, posted_, t.kept), "weights")
     keyword = retrieve.keyword_pool(terms, weights, posted_, F.lit(50))
-    vector = retrieve.vector_pool(q.select("query_id", "project_id", "embedding"), t.embeddings, F.lit(50), DIM)
+    vector = retrieve.vector_pool(q.select("query_id", "project_id", "embedding"), t.embeddings, 50, DIM)
     named = q.select("query_id", "project_id", F.explode("entities").alias("normalized_name"))
     matches = retrieve.entity_matches(named, t.mentions)
     entity = retrieve.entity_pool(matches, t.kept, F.lit(25))
@@ -364,7 +364,7 @@ for _name in ("op_vector", "top_vector_scoped", "win_vecrank"):
 SELECT query_id, id, round(cosine, 6)::DOUBLE AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM v QUALIFY rank <= 50""")
 def _(t):
     free = t.asked.select("query_id", F.lit(None).cast("string").alias("project_id"), "embedding")
-    return retrieve.vector_pool(free, t.embeddings, F.lit(50), DIM).select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("vec_rank").cast("bigint").alias("rank"))
+    return retrieve.vector_pool(free, t.embeddings, 50, DIM).select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("vec_rank").cast("bigint").alias("rank"))
 
 
 @query("jn_hydrate_kw", f"WITH {chain()} SELECT kw.query_id, kw.kw_rank::BIGINT AS rank, mem.id, mem.content, mem.type FROM kw JOIN mem ON mem.id = kw.id")
