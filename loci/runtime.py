@@ -6,6 +6,7 @@ import os
 import sys
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 cloudpickle.register_pickle_by_value(sys.modules["loci"])
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per context, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_loci_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="loci-"), "loci.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(path)
+        sc._loci_shipped = True
+    return spark
+
+
 def build_session(app: str = "loci", cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -27,10 +45,12 @@ def build_session(app: str = "loci", cores: str = "*", shuffle_partitions: int =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    return ship(spark)
 
 
 def table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame:
     """Scan one parquet table, with only the named columns."""
+    ship(spark)
     df = spark.read.parquet(f"{base}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -41,6 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where neither that setting nor a checkpoint directory is there (local runs, tests), a
     temporary folder is set; a cluster always names its own.
     """
+    ship(spark)
     sc = spark.sparkContext
     named = sc._conf.get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
