@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loci import schema
-from loci.functions import lists as L
 from loci.functions import scoring as S
 from loci.functions import text as X
-from loci.operators import evaluate, extract, graph, ingest, maintain, memories, profile, retrieve, skew
-from loci.plans.base import ASKED, COSINE, DIM, EDG, EMB, MEM, MEN, SQL_NOW, posted, query, quoted, sql_keywords, sql_tokens
-from loci.plans.texts import DECAY, HOURS, sig
-from loci.runtime import stored, table
+from loci.operators import evaluate, extract, graph, ingest, maintain, memories, profile, retrieve
+from loci.plans.base import ASKED, COSINE, DIM, EDG, EMB, MEM, MEN, SQL_NOW, posted, query, sql_keywords, sql_tokens
+from loci.plans.texts import DECAY, HOURS, final_sql, sig
+from loci.runtime import stored
 from loci.sources import conversations
 
 TJSON = "CASE WHEN len(tags) = 0 THEN '[]' ELSE '[\"' || array_to_string(tags, '\",\"') || '\"]' END"
@@ -427,8 +426,6 @@ def _(t):
     return keyword.select("query_id", "id").unionAll(vector.select("query_id", "id")).unionAll(entity).distinct()
 
 
-from loci.plans.texts import final_sql  # noqa: E402
-
 FINAL = f"""fall AS (
   SELECT a.query_id, mem.id FROM asked a JOIN mem ON mem.project_id = a.project_id WHERE a.query_id NOT IN (SELECT query_id FROM qt)
   QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY created_at DESC, mem.id) <= 50),
@@ -820,6 +817,3 @@ def _(t):
     asked = items.select(F.col("item_id").alias("id"), "conversation", X.content_tokens(F.col("question")).alias("words"))
     return evaluate.aligned(asked, turns).select("id", "turn_key", F.round("share", 6).alias("share"))
 
-
-def unused():
-    return L, skew, table, quoted

@@ -10,7 +10,7 @@ from loci.functions import text as X
 from loci.functions import vector as V
 from loci.functions.entities import entities
 from loci.operators import extract
-from loci.plans.base import ASKED, COSINE, DIM, EMB, MEM, SQL_NOW, query, quoted, sql_keywords, sql_split, sql_tokens
+from loci.plans.base import ASKED, COSINE, EDG, EMB, MEM, SQL_NOW, query, quoted, sql_keywords, sql_split, sql_tokens
 from loci.sources import conversations
 
 HASH = f"substring(sha256(array_to_string({sql_tokens('content')}, ' ')), 1, 32)"
@@ -143,8 +143,6 @@ def pairs(t):
     return ends.join(a, "new_id").join(b, "old_id")
 
 
-from loci.plans.base import EDG  # noqa: E402
-
 _STEP = "list_reduce(list_prepend(0, list_transform({outer}, lambda w: 0)), lambda k, z, i: CASE WHEN k < len({inner}) AND ({inner})[k + 1] = ({outer})[i - 1] THEN k + 1 ELSE k END)"
 
 
@@ -434,6 +432,3 @@ def _(t):
 def _(t):
     return t.raw("memory_embeddings").where("embedding is not null").where(V.is_zero(F.col("embedding"))).groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
 
-
-def dim() -> int:
-    return DIM
