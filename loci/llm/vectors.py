@@ -4,8 +4,8 @@ Tables of p-stable hashes ``floor((a.v + b) / w)`` are kept in groups that share
 functions. A row goes to the shard of its prefix once per group; inside a shard all tables of the
 group are probed: its own bucket first, then perturbed buckets in the order of their estimated
 success (the sum of squared distances to the bucket borders that are crossed). Candidates of all
-tables are merged, ordered by the cosine of eight-bit vectors, and the best are reranked with the
-exact cosine. Equal vectors are one class from the start, so a group of copies is one row.
+tables are merged and ranked by the exact cosine inside the shard, so that its best are the true
+best of those that met. Equal vectors are one class from the start, so a group of copies is one row.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ SHARD_WIDTH = 2.4
 SHARD_ROWS = 12_000
 #: A shard is worked on in blocks of at most so many rows; larger ones are split over tasks, block pair by block pair.
 BLOCK_ROWS = 40_000
-#: The eight-bit cosine is at most this far from the exact one.
-SLACK = 0.02
+#: The cosine of single-precision unit vectors is at most this far from the exact one.
+SLACK = 1e-5
 _SEED = 977
 
 
@@ -121,9 +121,9 @@ def _to_shards(batches: Iterator[pa.RecordBatch], dim: int, groups: int, prefix:
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        u = _unit(batch.column(1).flatten().to_numpy().reshape(-1, dim))
-        small = np.rint(u * (127 / np.abs(u).max(axis=1, keepdims=True))).astype(np.int8)
-        packed = pa.array([x.tobytes() for x in small], pa.binary())
+        v = batch.column(1).flatten().to_numpy().astype(np.float32).reshape(-1, dim)
+        u = _unit(v)
+        packed = pa.array([x.tobytes() for x in v], pa.binary())
         h = np.floor((u @ a) / SHARD_WIDTH).astype(np.int64) * mix
         for g in range(groups):
             key = h[:, g * prefix : (g + 1) * prefix].sum(axis=1)
@@ -132,25 +132,40 @@ def _to_shards(batches: Iterator[pa.RecordBatch], dim: int, groups: int, prefix:
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), packed], names=["shard", "cid", "q"])
 
 
-def _candidates(cid: np.ndarray, q: np.ndarray, group: int, k: int, floor: float, mine: np.ndarray | None, theirs: np.ndarray | None) -> list[np.ndarray]:
-    """Best ``k`` candidates of every row, by eight-bit cosine: arrays (a, b).
+def _exact(u: np.ndarray, i: np.ndarray, w: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of the unit vectors ``u[i]`` and ``w[j]`` in double precision, row by row; in slices, so that memory stays bounded."""
+    out = np.empty(i.size)
+    for at in range(0, i.size, 100_000):
+        out[at : at + 100_000] = np.einsum("ij,ij->i", u[i[at : at + 100_000]], w[j[at : at + 100_000]])
+    return out
+
+
+def _candidates(cid: np.ndarray, v: np.ndarray, group: int, k: int, least: float, mine: np.ndarray | None, theirs: np.ndarray | None) -> list[np.ndarray]:
+    """Best ``k`` candidates of every row and all that tie with the last of them, by exact cosine: arrays (a, b, cosine).
 
     ``mine`` and ``theirs`` mark the two blocks of a split shard: then only pairs between them count.
     """
-    n, dim = q.shape
-    f = q.astype(np.float32)
-    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    n, dim = v.shape
+    u = _unit(v)
+    f = u.astype(np.float32)
     rng = np.random.default_rng([_SEED, group])
     plans = perturbations(FUNCTIONS, PROBES)
-    found: list[np.ndarray] = []
-    held = 0
-
-    def best(parts: list[np.ndarray]) -> np.ndarray:
-        got = np.unique(np.concatenate(parts), axis=0) if parts else np.empty((0, 3), np.int64)
-        got = got[np.lexsort((cid[got[:, 1]], -got[:, 2], got[:, 0]))]
-        first = np.flatnonzero(np.concatenate([[True], got[1:, 0] != got[:-1, 0]])) if len(got) else np.array([], np.int64)
-        rank = np.arange(len(got)) - np.repeat(first, np.diff(np.append(first, len(got))))
-        return got[rank < k]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held, room = 0, 4_000_000 + 2 * k * n
+
+    def best(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.array([], np.int64), np.array([])
+        pair, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        cos = np.concatenate([p[1] for p in parts])[at]
+        i = pair // n
+        order = np.lexsort((-cos, i))
+        pair, cos, i = pair[order], cos[order], i[order]
+        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if i.size else np.array([], np.int64)
+        sizes = np.diff(np.append(first, i.size))
+        last = cos[first + np.minimum(sizes, k) - 1] if i.size else cos
+        keep = cos >= np.repeat(last, sizes)
+        return pair[keep], cos[keep]
 
     for _ in range(GROUP_TABLES):
         a = rng.normal(size=(dim, FUNCTIONS)).astype(np.float32)
@@ -183,21 +198,24 @@ def _candidates(cid: np.ndarray, q: np.ndarray, group: int, k: int, floor: float
                     if mine is not None:
                         ok &= (mine[i] & theirs[j]) | (theirs[i] & mine[j])
                     i, j = i[ok], j[ok]
-                    cos = np.einsum("ij,ij->i", f[i], f[j])
-                    ok = cos >= floor
-                    i, j, c6 = i[ok], j[ok], (cos[ok] * 1e6).astype(np.int64)
+                    ok = np.einsum("ij,ij->i", f[i], f[j]) >= least - SLACK
+                    i, j = i[ok], j[ok]
+                    cos = _exact(u, i, u, j)
+                    ok = cos >= least
+                    i, j, cos = i[ok], j[ok], cos[ok]
                     # A probe that met is evidence for both.
-                    found += [np.stack([i, j, c6], axis=1), np.stack([j, i, c6], axis=1)]
+                    found += [(i * n + j, cos), (j * n + i, cos)]
                     held += 2 * i.size
-                    if held > 4_000_000 + 2 * k * n:
+                    if held > room:
                         found = [best(found)]
-                        held = len(found[0])
+                        held = found[0][0].size
+                        room = 4_000_000 + max(2 * k * n, 2 * held)
                 start = stop
-    got = best(found)
-    return [cid[got[:, 0]], cid[got[:, 1]]]
+    pair, cos = best(found)
+    return [cid[pair // n], cid[pair % n], cos]
 
 
-def _pair_shards(batches: Iterator[pa.RecordBatch], k: int, floor: float, block_rows: int) -> Iterator[pa.RecordBatch]:
+def _pair_shards(batches: Iterator[pa.RecordBatch], k: int, least: float, block_rows: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard -> candidates (block -1), and the rows of shards that are too large, with their block."""
     held: list[tuple] = []
     shard, rows, spilled = None, 0, 0
@@ -208,14 +226,15 @@ def _pair_shards(batches: Iterator[pa.RecordBatch], k: int, floor: float, block_
         keep = np.unique(cid, return_index=True)[1]  # copies from several tasks
         return cid[keep], q[keep]
 
-    def out(block, a, b, q=None):
+    def out(block, a, b, cosine=None, q=None):
         empty = pa.array(q, pa.binary()) if q is not None else pa.nulls(len(a), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), empty], names=["block", "a", "b", "q"])
+        cosine = pa.array(cosine, pa.float64()) if cosine is not None else pa.nulls(len(a), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), cosine, empty], names=["block", "a", "b", "cosine", "q"])
 
     def spill():
         nonlocal spilled, held, rows
         cid, q = columns(held)
-        batch = out(np.full(cid.size, spilled), cid, np.full(cid.size, shard), [x.tobytes() for x in q])
+        batch = out(np.full(cid.size, spilled), cid, np.full(cid.size, shard), q=[x.tobytes() for x in q])
         spilled, held, rows = spilled + 1, [], 0
         return batch
 
@@ -225,15 +244,15 @@ def _pair_shards(batches: Iterator[pa.RecordBatch], k: int, floor: float, block_
         held, rows = [], 0
         if cid.size < 2:
             return None
-        a, b = _candidates(cid, q, int(shard) % 1024, k, floor, None, None)
-        return out(np.full(a.size, -1), a, b)
+        a, b, cosine = _candidates(cid, q, int(shard) % 1024, k, least, None, None)
+        return out(np.full(a.size, -1), a, b, cosine)
 
     for batch in batches:
         s, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not s.size:
             continue
-        dim = len(batch.column(2)[0].as_py())
-        q = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int8).reshape(-1, dim)
+        dim = len(batch.column(2)[0].as_py()) // 4
+        q = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float32).reshape(-1, dim)
         cuts = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [s.size]])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if shard is not None and s[lo] != shard:
@@ -253,27 +272,22 @@ def _pair_shards(batches: Iterator[pa.RecordBatch], k: int, floor: float, block_
             yield done
 
 
-def _pair_block(table: pa.Table, k: int, floor: float) -> pa.Table:
+def _pair_block(table: pa.Table, k: int, least: float) -> pa.Table:
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
     shard = table.column("shard")[0].as_py()
     block, cid = table.column("block").to_numpy(), table.column("a").to_numpy()
     rows = table.column("q").to_pylist()
-    q = np.frombuffer(b"".join(rows), dtype=np.int8).reshape(len(rows), -1)
-    a, b = _candidates(cid, q, int(shard) % 1024, k, floor, block == lo, block == hi)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    q = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), -1)
+    a, b, cosine = _candidates(cid, q, int(shard) % 1024, k, least, block == lo, block == hi)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
 
 
-def _blocked(large: DataFrame, k: int, floor: float) -> DataFrame:
+def _blocked(large: DataFrame, k: int, least: float) -> DataFrame:
     tops = large.groupBy(F.col("b").alias("shard")).agg(F.max("block").alias("top"))
     rows = large.withColumnRenamed("b", "shard").join(tops, "shard")
     rows = rows.select("shard", "a", "block", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("other"))
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    return rows.groupBy("shard", "lo", "hi").applyInArrow(lambda t: _pair_block(t, k, floor), "a bigint, b bigint")
-
-
-def _cosine(a: str, b: str):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return rows.groupBy("shard", "lo", "hi").applyInArrow(lambda t: _pair_block(t, k, least), "a bigint, b bigint, cosine double")
 
 
 def nearest(
@@ -292,28 +306,23 @@ def nearest(
     read = named.mapInArrow(functools.partial(_read, dim=dim), f"id {kind}, cid bigint, v array<float>")
     firsts = read.where(F.col("v").isNotNull()).select("cid", "v")
     groups, prefix = shape(named.count(), min_cosine, target)
-    floor = min_cosine - SLACK
     parts = default_parallelism(vectors)
     shards = firsts.mapInArrow(functools.partial(_to_shards, dim=dim, groups=groups, prefix=prefix), "shard bigint, cid bigint, q binary")
     met = (
         shards.repartition(parts, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(functools.partial(_pair_shards, k=k + 3, floor=floor, block_rows=block_rows), "block bigint, a bigint, b bigint, q binary")
+        .mapInArrow(functools.partial(_pair_shards, k=k, least=min_cosine, block_rows=block_rows), "block bigint, a bigint, b bigint, cosine double, q binary")
     )
     met = stored(met, "met")
-    pairs = met.where(F.col("block") < 0).select("a", "b")
+    links = met.where(F.col("block") < 0).select("a", "b", "cosine")
     large = met.where(F.col("block") >= 0)
     if not large.isEmpty():
-        pairs = pairs.unionByName(_blocked(large, k + 3, floor))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # Exact reranking. A class is named by 64 bits of its vector; were two vectors to share them, both would be compared here.
-    one = firsts.repartition("cid").dropDuplicates(["cid", "v"])
-    both = pairs.join(one.select(F.col("cid").alias("a"), F.col("v").alias("va")), "a").join(one.select(F.col("cid").alias("b"), F.col("v").alias("vb")), "b")
-    links = both.select("a", "b", _cosine("va", "vb").alias("cosine")).where(F.col("cosine") >= min_cosine)
-    links = links.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    directed = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    directed = directed.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 3).drop("n")
+        links = links.unionByName(_blocked(large, k, min_cosine))
+    # A pair met in one shard may be among the best of one side only; it counts for both.
+    directed = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    # All that tie with the k-th class go on: which of them counts is decided by the ids below.
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"))
+    directed = directed.withColumn("n", F.rank().over(best)).where(F.col("n") <= k).drop("n")
     # Of a class of copies only its k + 1 smallest ids can be among the first k of anything.
     ids = read.select("id", "cid").distinct()
     few = ids.withColumn("n", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")

@@ -108,6 +108,16 @@ def test_similar_pairs_match_brute_force(spark, block_rows):
     assert not got - want and len(got) >= 0.97 * len(want)
 
 
+def test_best_of_a_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    rows = {f"d{i:03d}": (centre + rng.normal(size=64) * 0.03).astype(np.float32).astype(np.float64) for i in range(400)}
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows.items()], "memory_id string, embedding array<float>")
+    got = {(r["a"], r["b"]) for r in vectors.similar_pairs(df, 5, 0.9).collect()}
+    want = brute(rows, 5, 0.9)
+    assert not got - want and len(got) >= 0.97 * len(want)
+
+
 def test_many_copies_stay_linear(spark):
     data = [(f"c{i:03d}", [1.0, 2.0, 3.0, 4.0]) for i in range(120)] + [("q", [-1.0, 0.0, 0.0, 0.0])]
     got = vectors.nearest(spark.createDataFrame(data, "memory_id string, embedding array<float>"), 5, 0.9, dim=4).collect()
