@@ -65,15 +65,15 @@ def leximin_ranks(df: DataFrame, group: str, item: str, scores: Sequence[str]) -
     """``(group, item, weakest_first, rank)``: rank 1 is best; equal arrays share the rank of the first.
 
     Ranks are running counts over distinct arrays, in order-preserving ranges of the arrays' first
-    entries, so a hot group is split by range.
+    entries above 0, so a hot group is split by range.
     """
     ranked = leximin_scores(df, group, item, scores).withColumnsRenamed({group: "__g", item: "__i"})
     freq = value_frequencies(ranked, ["__g"], "weakest_first", "arr")
-    # Ranges over the two weakest percentiles: coarse, but never against the arrays' order.
+    # More entries of 0 come last; among as many, the first entry above 0 decides before all others.
     grid = 1000.0
-    at = lambda k: F.coalesce(F.try_element_at("arr", F.lit(k)), F.lit(0.0))
-    coarse = (F.floor(at(1) * grid) * (grid + 1) + F.floor(at(2) * grid)).cast("long")
-    freq = freq.withColumn("range", coarse)
+    zeros = F.size(F.filter("arr", lambda x: x == 0))
+    first = F.coalesce(F.try_element_at("arr", zeros + 1), F.lit(0.0))
+    freq = freq.withColumn("range", ((F.size("arr") - zeros) * (grid + 1) + F.floor(first * grid)).cast("long"))
     per = freq.groupBy("__g", "range").agg(F.sum("n").alias("m"))
     better = Window.partitionBy("__g").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("above", F.coalesce(F.sum("m").over(better), F.lit(0))).drop("m")

@@ -229,6 +229,18 @@ def test_leximin(spark):
 # --- 6 distinctive terms ---------------------------------------------------------------------------
 
 
+def test_leximin_in_a_large_group(spark):
+    rng = random.Random(3)
+    rows = [("hot", f"i{n:04d}", *[None if rng.random() < 0.2 else rng.random() for _ in range(3)]) for n in range(3000)]
+    df = spark.createDataFrame(rows, "g string, i string, x double, y double, z double")
+    got = leximin.leximin_ranks(df, "g", "i", ["x", "y", "z"]).collect()
+    keys = sorted((tuple(r["weakest_first"]) for r in got), reverse=True)
+    first = {}
+    for n, key in enumerate(keys, 1):
+        first.setdefault(key, n)
+    assert len(got) == 3000 and all(r["rank"] == first[tuple(r["weakest_first"])] for r in got)
+
+
 def slow_weights(texts, share):
     from collections import Counter
 
