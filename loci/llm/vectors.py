@@ -340,20 +340,50 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cosine: float = 0.9, ident
 
 
 def _exact_block(batches: Iterator[pa.RecordBatch], queries, k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch the ``k`` nearest others of every query, equal cosines by id: exactly what can be among the first of all."""
     ids, unit = queries.value
+    names = np.array(ids, dtype=object)
+    small = unit.astype(np.float32)
     for batch in batches:
         rows, v = _usable(batch.column(1), dim)
-        if not rows.size:
+        if not rows.size or not names.size:
             continue
-        cos = unit @ _unit(v).T
-        top = min(k + 1, rows.size)
-        best = np.argpartition(-cos, top - 1, axis=1)[:, :top]
-        q = np.repeat(np.arange(len(ids)), top)
+        w = _unit(v)
+        near = w.astype(np.float32).T
+        own = np.array(batch.column(0).take(pa.array(rows)).to_pylist(), dtype=object)
+        # By id from here on, so that row numbers order equal cosines.
+        by_id = np.argsort(own, kind="stable")
+        own, w, near = own[by_id], w[by_id], np.ascontiguousarray(near[:, by_id])
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        head = min(rows.size, 1024)
+        step = max(1, 8_000_000 // rows.size)
+        for lo in range(0, names.size, step):
+            cos = small[lo : lo + step] @ near
+            # One place more, for the query itself. The head's k-th bounds the batch's from below.
+            top = min(k + 1, head)
+            bound = np.partition(cos[:, :head], head - top, axis=1)[:, head - top]
+            q, j = np.nonzero(cos >= (bound - 2 * SLACK)[:, None])
+            other = names[lo + q] != own[j]
+            q, j = q[other] + lo, j[other]
+            c = _exact(unit, q, w, j)
+            order = np.lexsort((j, -c, q))
+            q, j, c = q[order], j[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if q.size else q
+            rank = np.arange(q.size) - np.repeat(first, np.diff(np.append(first, q.size)))
+            out.append((q[rank < k], j[rank < k], c[rank < k]))
+        q, j, c = (np.concatenate(x) for x in zip(*out, strict=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in q]), batch.column(0).take(pa.array(rows[best.ravel()])), pa.array(cos[q, best.ravel()])], names=["id", "other", "cosine"]
+            [pa.array(names[q], batch.column(0).type), pa.array(own[j], batch.column(0).type), pa.array(c)], names=["id", "other", "cosine"]
         )
 
 
+def _one_each(vectors: DataFrame, ident: str, vector: str, dim: int) -> DataFrame:
+    """``(id, v)``: the usable vectors, one of each id."""
+    named = vectors.select(F.col(ident).alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull())
+    broken = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return named.where((F.size("v") == dim) & ~broken & F.exists("v", lambda x: x != 0)).dropDuplicates(["id"])
+
+
 def nearest_exact(
     vectors: DataFrame, queries: DataFrame, k: int = 5, ident: str = "memory_id", vector: str = "embedding", dim: int = 64, block: int = 20_000
 ) -> DataFrame:
@@ -362,10 +392,12 @@ def nearest_exact(
     For what hashing cannot reach: the nearest of a vector that has no similar one. ``queries`` has
     the columns of ``vectors``; it is read in blocks of at most ``block`` rows, each broadcast.
     """
-    src = vectors.select(F.col(ident).alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    asked = queries.select(F.col(ident).alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    kind = src.schema["id"].dataType.simpleString()
-    asked = asked.dropDuplicates(["id"])
+    one = _one_each(vectors, ident, vector, dim)
+    kind = one.schema["id"].dataType.simpleString()
+    # Of a class of copies only its k + 1 smallest ids can be among the first k of anything.
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    src = stored(one.withColumn("n", copies).where(F.col("n") <= k + 1).select("id", "v"), "src")
+    asked = stored(_one_each(queries, ident, vector, dim), "asked")
     blocks = max(1, -(-asked.count() // (block // 2)))
     result = None
     for n in range(blocks):
@@ -375,6 +407,5 @@ def nearest_exact(
         shared = vectors.sparkSession.sparkContext.broadcast((ids, _unit(v) if len(ids) else v))
         part = src.mapInArrow(functools.partial(_exact_block, queries=shared, k=k, dim=dim), f"id {kind}, other {kind}, cosine double")
         result = part if result is None else result.unionByName(part)
-    near = result.where(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return near.select("id", "other", "cosine", rank.alias("rank")).where(F.col("rank") <= k)
+    return result.select("id", "other", "cosine", rank.alias("rank")).where(F.col("rank") <= k)

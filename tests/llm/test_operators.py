@@ -143,6 +143,21 @@ def test_exact_blocks(spark):
         assert near[1] == min((-round(float(unit[i] @ w), 12), j) for j, w in unit.items() if j != i)[1]
 
 
+def test_exact_with_repeats_and_copies(spark):
+    rows = vector_rows(60)
+    data = [(k, [float(x) for x in v]) for k, v in rows.items()]
+    data += [(f"c{i:03d}", data[0][1]) for i in range(200)]
+    whole = {k: np.array(v) for k, v in data}
+    # Repeated next to each other, so that one batch holds each row several times.
+    df = spark.createDataFrame([r for r in reversed(data) for _ in range(4)], "memory_id string, embedding array<float>").coalesce(1)
+    asked = ["v0000", "v0001", "c150", "w0006"]
+    got = vectors.nearest_exact(df, df.where(F.col("memory_id").isin(asked)), 5, dim=16).collect()
+    unit = {i: v / np.linalg.norm(v) for i, v in whole.items()}
+    for i in asked:
+        want = sorted((-round(float(unit[i] @ w), 12), j) for j, w in unit.items() if j != i)[:5]
+        assert [r["other"] for r in sorted(got, key=lambda r: r["rank"]) if r["id"] == i] == [j for _, j in want]
+
+
 def test_shape_grows_with_the_collection():
     sizes = [vectors.shape(n, 0.9, 0.97) for n in (10**4, 10**5, 10**6, 10**8)]
     assert [p for _, p in sizes] == sorted(p for _, p in sizes) and vectors.collision(0.447, 2.0) > vectors.collision(1.0, 2.0)
