@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    near = vectors.nearest(table(spark, d, "memory_embeddings", "memory_id", "embedding"))
+    near = vectors.nearest_of_all(table(spark, d, "memory_embeddings", "memory_id", "embedding"))
     return near.select(F.col("id").alias("memory_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
 
 

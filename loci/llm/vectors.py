@@ -135,8 +135,8 @@ def _to_shards(batches: Iterator[pa.RecordBatch], dim: int, groups: int, prefix:
 def _exact(u: np.ndarray, i: np.ndarray, w: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Cosines of the unit vectors ``u[i]`` and ``w[j]`` in double precision, row by row; in slices, so that memory stays bounded."""
     out = np.empty(i.size)
-    for at in range(0, i.size, 100_000):
-        out[at : at + 100_000] = np.einsum("ij,ij->i", u[i[at : at + 100_000]], w[j[at : at + 100_000]])
+    for at in range(0, i.size, 20_000):
+        out[at : at + 20_000] = np.einsum("ij,ij->i", u[i[at : at + 20_000]], w[j[at : at + 20_000]])
     return out
 
 
@@ -340,41 +340,51 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cosine: float = 0.9, ident
 
 
 def _exact_block(batches: Iterator[pa.RecordBatch], queries, k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    """Of each batch the ``k`` nearest others of every query, equal cosines by id: exactly what can be among the first of all."""
+    """Of a task's rows the ``k`` nearest others of every query, equal cosines by id: exactly what can be among the first of all."""
     ids, unit = queries.value
     names = np.array(ids, dtype=object)
     small = unit.astype(np.float32)
+    # The k-th cosine so far of every query; nothing below it can be among the first.
+    bound = np.full(names.size, -2.0, np.float32)
+    held: pa.Table | None = None
+
+    def first(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("q", "ascending"), ("cosine", "descending"), ("other", "ascending")])
+        q = t.column("q").to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if q.size else q
+        rank = np.arange(q.size) - np.repeat(start, np.diff(np.append(start, q.size)))
+        last = rank == k - 1
+        bound[q[last]] = t.column("cosine").to_numpy()[last]
+        return t.filter(pa.array(rank < k))
+
     for batch in batches:
         rows, v = _usable(batch.column(1), dim)
         if not rows.size or not names.size:
             continue
         w = _unit(v)
-        near = w.astype(np.float32).T
-        own = np.array(batch.column(0).take(pa.array(rows)).to_pylist(), dtype=object)
-        # By id from here on, so that row numbers order equal cosines.
-        by_id = np.argsort(own, kind="stable")
-        own, w, near = own[by_id], w[by_id], np.ascontiguousarray(near[:, by_id])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        near = np.ascontiguousarray(w.astype(np.float32).T)
+        other = batch.column(0).take(pa.array(rows))
+        own = np.array(other.to_pylist(), dtype=object)
         head = min(rows.size, 1024)
-        step = max(1, 8_000_000 // rows.size)
+        step = max(1, 2_000_000 // rows.size)
+        parts = [] if held is None else [held]
         for lo in range(0, names.size, step):
             cos = small[lo : lo + step] @ near
-            # One place more, for the query itself. The head's k-th bounds the batch's from below.
-            top = min(k + 1, head)
-            bound = np.partition(cos[:, :head], head - top, axis=1)[:, head - top]
-            q, j = np.nonzero(cos >= (bound - 2 * SLACK)[:, None])
-            other = names[lo + q] != own[j]
-            q, j = q[other] + lo, j[other]
-            c = _exact(unit, q, w, j)
-            order = np.lexsort((j, -c, q))
-            q, j, c = q[order], j[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if q.size else q
-            rank = np.arange(q.size) - np.repeat(first, np.diff(np.append(first, q.size)))
-            out.append((q[rank < k], j[rank < k], c[rank < k]))
-        q, j, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[q], batch.column(0).type), pa.array(own[j], batch.column(0).type), pa.array(c)], names=["id", "other", "cosine"]
-        )
+            least = bound[lo : lo + step]
+            if held is None:
+                # One place more, for the query itself. The head's k-th bounds the batch's from below.
+                top = min(k + 1, head)
+                least = np.partition(cos[:, :head], head - top, axis=1)[:, head - top]
+            at = np.flatnonzero(cos >= (least - np.float32(2 * SLACK))[:, None])
+            q, j = at // rows.size + lo, at % rows.size
+            ok = names[q] != own[j]
+            q, j = q[ok], j[ok]
+            parts.append(first(pa.table({"q": pa.array(q), "other": other.take(pa.array(j)), "cosine": pa.array(_exact(unit, q, w, j))})))
+        held = first(pa.concat_tables(parts).combine_chunks())
+    if held is not None and held.num_rows:
+        asked = pa.array(names, held.schema.field("other").type).take(held.column("q").combine_chunks())
+        for part in pa.table({"id": asked, "other": held.column("other"), "cosine": held.column("cosine")}).to_batches(10_000):
+            yield part
 
 
 def _one_each(vectors: DataFrame, ident: str, vector: str, dim: int) -> DataFrame:
@@ -399,6 +409,9 @@ def nearest_exact(
     src = stored(one.withColumn("n", copies).where(F.col("n") <= k + 1).select("id", "v"), "src")
     asked = stored(_one_each(queries, ident, vector, dim), "asked")
     blocks = max(1, -(-asked.count() // (block // 2)))
+    # With many blocks of queries a task reads more of the rows, so that it hands on its best once and not once per small part.
+    # Never one: a union of single partitions would be a single task.
+    src = src.coalesce(max(2, -(-default_parallelism(vectors) // blocks)))
     result = None
     for n in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
@@ -409,3 +422,17 @@ def nearest_exact(
         result = part if result is None else result.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return result.select("id", "other", "cosine", rank.alias("rank")).where(F.col("rank") <= k)
+
+
+def nearest_of_all(
+    vectors: DataFrame, k: int = 5, min_cosine: float = 0.9, ident: str = "memory_id", vector: str = "embedding", dim: int = 64, **more
+) -> DataFrame:
+    """``(id, other, cosine, rank)``: of every usable vector the ``k`` most similar others, at any similarity.
+
+    Vectors with ``k`` neighbours at ``min_cosine`` get them from ``nearest``. The rest are asked of
+    all rows by ``nearest_exact``, which costs their number times the number of rows.
+    """
+    near = stored(nearest(vectors, k, min_cosine, ident, vector, dim, **more), "near")
+    full = near.where(F.col("rank") == k).select("id")
+    rest = vectors.join(full.withColumnRenamed("id", ident), ident, "left_anti")
+    return near.join(full, "id", "left_semi").unionByName(nearest_exact(vectors, rest, k, ident, vector, dim))

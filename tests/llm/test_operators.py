@@ -158,6 +158,25 @@ def test_exact_with_repeats_and_copies(spark):
         assert [r["other"] for r in sorted(got, key=lambda r: r["rank"]) if r["id"] == i] == [j for _, j in want]
 
 
+def test_every_vector_has_its_nearest(spark):
+    rows = vector_rows(120)
+    data = [(k, [float(x) for x in v]) for k, v in rows.items()] + [(f"c{i}", [1.0] * 16) for i in range(9)]
+    whole = {k: np.array(v) for k, v in data}
+    got = vectors.nearest_of_all(spark.createDataFrame(data * 2, "memory_id string, embedding array<float>"), 5, dim=16).collect()
+    unit = {i: v / np.linalg.norm(v) for i, v in whole.items()}
+    want = {(i, j) for i, v in unit.items() for _, j in sorted((-round(float(v @ w), 12), j) for j, w in unit.items() if j != i)[:5]}
+    found = {(r["id"], r["other"]) for r in got}
+    assert len(got) == 5 * len(whole) and len(found & want) >= 0.99 * len(want)
+
+
+def test_query_of_neighbours_leaves_no_vector_out(spark, small):
+    from loci.llm.queries import QUERIES
+
+    got = QUERIES["p2_neighbours"](spark, small)
+    usable = vectors._one_each(spark.read.parquet(f"{small}/memory_embeddings.parquet"), "memory_id", "embedding", 64)
+    assert got.groupBy("memory_id").count().where("count = 5").count() == usable.count() > 0
+
+
 def test_shape_grows_with_the_collection():
     sizes = [vectors.shape(n, 0.9, 0.97) for n in (10**4, 10**5, 10**6, 10**8)]
     assert [p for _, p in sizes] == sorted(p for _, p in sizes) and vectors.collision(0.447, 2.0) > vectors.collision(1.0, 2.0)
