@@ -22,7 +22,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "memories", "id", "content"), table(spark, d, "name_parts"))
+    def one(source: str, ident: str, text: str) -> DataFrame:
+        clean = pii.redact(table(spark, d, source, ident, text), table(spark, d, "name_parts"), ident, text)
+        return clean.select(F.lit(source).alias("source_table"), F.col(ident).alias("record_id"), F.col(text).alias("text"))
+
+    return one("memories", "id", "content").unionByName(one("world_customers", "id", "email"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

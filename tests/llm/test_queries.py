@@ -23,3 +23,8 @@ def test_found_columns(spark, small):
         "p6_found": ["memory_id", "term"], "p7_found": ["doc_id"], "p8_found": ["doc_id", "item_id"], "p9_found": ["doc_id"],
     }
     assert {n: QUERIES[n](spark, small).columns for n in want} == want
+
+
+def test_redacted_covers_both_tables(spark, small):
+    got = {r["source_table"]: r["n"] for r in QUERIES["p1_redacted"](spark, small).groupBy("source_table").count().withColumnRenamed("count", "n").collect()}
+    assert got == {name: spark.read.parquet(f"{small}/{name}.parquet").count() for name in ("memories", "world_customers")}
