@@ -52,7 +52,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(spark, d, "memories", "id", "content"))
+    """Every memory, however short; one without words is a group of its own."""
+    rows = table(spark, d, "memories", "id", "content")
+    groups = neardup.near_duplicate_groups(rows, least=1)
+    ids = rows.where("id is not null").select("id").distinct()
+    return ids.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

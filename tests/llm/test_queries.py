@@ -28,3 +28,12 @@ def test_found_columns(spark, small):
 def test_redacted_covers_both_tables(spark, small):
     got = {r["source_table"]: r["n"] for r in QUERIES["p1_redacted"](spark, small).groupBy("source_table").count().withColumnRenamed("count", "n").collect()}
     assert got == {name: spark.read.parquet(f"{small}/{name}.parquet").count() for name in ("memories", "world_customers")}
+
+
+def test_groups_hold_every_memory(spark, small):
+    rows = spark.read.parquet(f"{small}/memories.parquet").where("id is not null")
+    got = QUERIES["p3_groups"](spark, small).collect()
+    assert len({r["id"] for r in got}) == rows.select("id").distinct().count()
+    group = {r["id"]: r["group_id"] for r in got}
+    same = rows.where("trim(content) <> ''").groupBy("content").agg({"id": "collect_set"}).collect()
+    assert all(len({group[i] for i in r[1]}) == 1 for r in same)
