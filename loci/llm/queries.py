@@ -48,15 +48,16 @@ def p2_nearest_of_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_pairs(table(spark, d, "memories", "id", "content")).select("id_a", "id_b")
+    """Pairs at 0.7 among memories of at least 20 different words."""
+    return neardup.near_duplicate_pairs(table(spark, d, "memories", "id", "content"), threshold=0.7, least=20).select("id_a", "id_b")
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every memory, however short; one without words is a group of its own."""
     rows = table(spark, d, "memories", "id", "content")
-    groups = neardup.near_duplicate_groups(rows, least=1)
+    groups = neardup.near_duplicate_groups(rows, threshold=0.7).groupBy("id").agg(F.min("group_id").alias("group_id"))
     ids = rows.where("id is not null").select("id").distinct()
-    return ids.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return ids.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
