@@ -24,33 +24,39 @@ from pyspark.sql.window import Window
 
 from loci.runtime import default_parallelism, stored
 
+#: Groups of tables: how often a row moves, whatever the size of the collection.
+GROUPS = 4
 #: Tables in a group, functions of a table beyond the shard's prefix, width of a bucket, extra buckets probed.
-GROUP_TABLES, FUNCTIONS, WIDTH, PROBES = 4, 12, 2.0, 12
-#: Width of the buckets of the shard's prefix.
-SHARD_WIDTH = 2.4
-#: Rows a shard should hold; the prefix grows with the collection to keep it there.
-SHARD_ROWS = 12_000
+GROUP_TABLES, FUNCTIONS, WIDTH, PROBES = 4, 16, 2.0, 12
+#: Width of the buckets of the shard's prefix, and its least length, so that small collections use all cores too.
+SHARD_WIDTH, LEAST_PREFIX = 2.4, 3
+#: Rows a shard should hold; the prefix grows with the logarithm of the collection to keep it there.
+SHARD_ROWS = 96_000
 #: A shard is worked on in blocks of at most so many rows; larger ones are split over tasks, block pair by block pair.
-BLOCK_ROWS = 40_000
+BLOCK_ROWS = 240_000
 #: The cosine of single-precision unit vectors is at most this far from the exact one.
 SLACK = 1e-5
 _SEED = 977
 
 
-def collision(distance: float, width: float) -> float:
-    """Probability that two points at a distance share a bucket of one p-stable (normal) hash."""
-    c = width / distance
-    return 1 - 2 * 0.5 * math.erfc(c / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * c) * (1 - math.exp(-c * c / 2))
+def same_bucket(cosine: float) -> float:
+    """Probability that unit vectors at a cosine share a bucket of one function of the prefix, whose borders are at multiples of ``SHARD_WIDTH``."""
+    x = np.linspace(-8, 8, 4001)
+    spread = math.sqrt(max(1e-12, 1 - cosine * cosine))
+    below = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
+    low = np.floor(x / SHARD_WIDTH) * SHARD_WIDTH
+    share = below((low + SHARD_WIDTH - cosine * x) / spread) - below((low - cosine * x) / spread)
+    return float((share * np.exp(-x * x / 2)).sum() / np.exp(-x * x / 2).sum())
 
 
-def shape(rows: int, min_cosine: float, target: float) -> tuple[int, int]:
-    """(groups, prefix functions) so that vectors at ``min_cosine`` meet in a probed bucket with the target probability."""
-    distance = math.sqrt(max(1e-9, 2 - 2 * min_cosine))
-    # A bucket of the prefix keeps about half of the rows.
-    prefix = max(1, round(math.log2(max(2.0, rows / SHARD_ROWS)) / 1.1))
-    inside = 0.95
-    meet = collision(distance, SHARD_WIDTH) ** prefix * inside
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - min(meet, 0.999)))), prefix
+def prefix_length(rows: int) -> int:
+    """Functions of a shard's prefix; each keeps a little less than half of the rows in a bucket."""
+    return max(LEAST_PREFIX, round(math.log2(max(1.0, rows / SHARD_ROWS)) / 1.1))
+
+
+def expected_recall(rows: int, cosine: float, inside: float = 0.98) -> float:
+    """Probability that vectors at a cosine meet in a shard of some group; ``inside`` is the recall of the probed tables there (measured: README)."""
+    return 1 - (1 - same_bucket(cosine) ** prefix_length(rows) * inside) ** GROUPS
 
 
 def perturbations(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -291,21 +297,22 @@ def _blocked(large: DataFrame, k: int, least: float) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, k: int = 5, min_cosine: float = 0.9, ident: str = "memory_id", vector: str = "embedding", dim: int = 64, target: float = 0.97,
-    block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, k: int = 5, min_cosine: float = 0.9, ident: str = "memory_id", vector: str = "embedding", dim: int = 64, block_rows: int = BLOCK_ROWS,
+    as_of: int | None = None,
 ) -> DataFrame:
     """``(id, other, cosine, rank)``: of every usable vector, the up to ``k`` most similar others with ``min_cosine`` or more.
 
     A vector is usable if it has ``dim`` elements, all finite, not all zero. Rows repeated under one
-    id count once. Equal cosines are ordered by id. A neighbour at ``min_cosine`` is found with
-    about the ``target`` probability, nearer ones with a higher one; cosines are exact. Copies of a
-    vector are each other's neighbours. Null ids take no part; an empty table gives no rows.
+    id count once. Equal cosines are ordered by id. Neighbours are found with ``expected_recall``,
+    which falls slowly as the collection grows; cosines are exact. Copies of a vector are each
+    other's neighbours. Null ids take no part; an empty table gives no rows. ``as_of`` gives the
+    prefix of a collection of so many rows, to see on a small one what a large one costs and finds.
     """
     named = vectors.select(F.col(ident).alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     kind = named.schema["id"].dataType.simpleString()
     read = named.mapInArrow(functools.partial(_read, dim=dim), f"id {kind}, cid bigint, v array<float>")
     firsts = read.where(F.col("v").isNotNull()).select("cid", "v")
-    groups, prefix = shape(named.count(), min_cosine, target)
+    groups, prefix = GROUPS, prefix_length(as_of or named.count())
     parts = default_parallelism(vectors)
     shards = firsts.mapInArrow(functools.partial(_to_shards, dim=dim, groups=groups, prefix=prefix), "shard bigint, cid bigint, q binary")
     met = (

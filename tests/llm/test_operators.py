@@ -178,8 +178,10 @@ def test_query_of_neighbours_leaves_no_vector_out(spark, small):
 
 
 def test_shape_grows_with_the_collection():
-    sizes = [vectors.shape(n, 0.9, 0.97) for n in (10**4, 10**5, 10**6, 10**8)]
-    assert [p for _, p in sizes] == sorted(p for _, p in sizes) and vectors.collision(0.447, 2.0) > vectors.collision(1.0, 2.0)
+    sizes = [vectors.prefix_length(n) for n in (10**4, 10**6, 10**8, 10**9)]
+    assert sizes == sorted(sizes) and vectors.same_bucket(0.98) > vectors.same_bucket(0.9) and abs(vectors.same_bucket(0.0) - 0.49) < 0.02
+    # Near copies at a hundred million rows.
+    assert vectors.expected_recall(10**8, 0.98) >= 0.93 and vectors.expected_recall(10**5, 0.95) >= 0.98
     plans = vectors.perturbations(8, 12)
     assert plans[0] == (0,) and len(plans) == 12 and all(15 - r not in p for p in plans for r in p)
 
@@ -281,6 +283,20 @@ def test_what_moves_at_a_hundred_million_records():
     assert 0.63 * rows * (30 * 6 + 24 + 4) + members < 4 * 200
 
 
+def test_vectors_with_the_prefix_of_a_hundred_million_rows(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1500, 64))
+    rows = [(f"b{i:04d}", v.tolist()) for i, v in enumerate(base)]
+    rows += [(f"n{i:04d}", (base[i] + rng.uniform(0.05, 0.25) * rng.normal(size=64)).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "memory_id string, embedding array<float>")
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.9, 1))
+    want = {(rows[a][0], rows[b][0]) for a, b in zip(i, j, strict=True)}
+    got = {(r["a"], r["b"]) for r in vectors.similar_pairs(df, as_of=10**8).collect()}
+    assert not got - want and len(got & want) >= 0.95 * len(want)
+
+
 def test_no_records(spark):
     empty = spark.createDataFrame([], "id string, content string")
     assert neardup.near_duplicate_pairs(empty).count() == 0 and neardup.near_duplicate_groups(empty).count() == 0
