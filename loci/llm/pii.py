@@ -1,7 +1,10 @@
 """Personal data in free text: find it, and put a placeholder of its type in its place.
 
 Regular expressions propose spans, checksum validators confirm numbers, and words nearby move the
-score; spans at or above ``ACCEPT`` count. Kinds are tried in a fixed order (email, address,
+score; spans at or above ``ACCEPT`` count. A number of a specific form that passes its checksum
+needs no word beside it, one of a looser form only a word somewhere near; one that fails its
+checksum, or has none, needs the naming word directly before it, and weak forms that fail it are
+refused even then. Kinds are tried in a fixed order (email, address,
 identity number, phone, name) and a later kind never takes what an earlier one has. Names need a
 family name with a given name, an initial or a title; name parts come from a list and, as lists
 are never complete, from the endings that are typical of the list's family and given names.
@@ -57,11 +60,17 @@ _IDENTITY_WORDS = (
     r"passport|reisepass|pasaporte|passeport|pan|dni|nie|nif|curp|cpf|bsn|nhs|health (?:insurance|card|id)|medicare|krankenversicherung|sozialversicherung|insee|numéro de sécurité sociale|"
     r"identity (?:number|no\.?)|id (?:number|no\.?)|voter id|residence permit"
 )
+#: The same words anywhere near, with nothing that ends a sentence between.
+_IDENTITY_NEAR = re.compile(rf"(?<![\w-])(?:{_IDENTITY_WORDS})(?![\w])(?:[^.;!?\n]|\.(?=\S))*$", re.I)
+_IDENTITY_AFTER = re.compile(rf"^(?:[^.;!?\n]|\.(?=\S))*?(?<![\w-])(?:{_IDENTITY_WORDS})(?![\w])", re.I)
 _IDENTITY_CUE = re.compile(rf"(?<![\w-])(?:{_IDENTITY_WORDS})(?![\w])\s*(?:card\s*)?(?:number|no\.?|nr\.?|id|is|was|#|:|=)?\s*[:#=]?\s*$", re.I)
 _IDENTITY = re.compile(
     r"(?<![\w@/+.-])(?:"
     r"(?P<ssn>\d{3}([- ])\d{2}\2\d{4})"
     r"|(?P<twelve>\d{4}([- ])\d{4}\4\d{4})"
+    r"|(?P<insee>[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2})"
+    r"|(?P<belgian>\d{2}\.(?:0\d|1[0-2])\.\d{2}-\d{3}\.\d{2})"
+    r"|(?P<sin>\d{3}(?P<gap>[- ])\d{3}(?P=gap)\d{3})"
     r"|(?P<pan>[A-Z]{5}\d{4}[A-Z])"
     r"|(?P<nino>[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z])"
     r"|(?P<licence>[A-Z]{5}\d{6}[A-Z0-9]{2,5})"
@@ -73,7 +82,12 @@ _IDENTITY = re.compile(
     r")(?![\w@]|[-.]\w)"
 )
 #: How sure the form alone is, before checksum and context.
-_IDENTITY_BASE = {"ssn": 0.3, "twelve": 0.15, "pan": 0.35, "nino": 0.4, "licence": 0.3, "dni": 0.15, "steuer": 0.15, "passport": 0.1, "nhs": 0.05, "any": 0.0}
+_IDENTITY_BASE = {
+    "ssn": 0.3, "twelve": 0.15, "insee": 0.35, "belgian": 0.35, "sin": 0.1, "pan": 0.35, "nino": 0.4, "licence": 0.3, "dni": 0.15, "steuer": 0.15, "passport": 0.1, "nhs": 0.05, "any": 0.0,
+}
+#: Forms with a checksum or rule of issue: passing it adds, failing it takes away.
+_CHECKED = frozenset(("ssn", "twelve", "insee", "belgian", "sin", "dni", "steuer", "nhs"))
+_PASSED, _FAILED, _CUE, _NEAR, _AGAINST = 0.3, 0.1, 0.6, 0.35, 0.6
 
 # --- phone numbers
 _PHONE = re.compile(
@@ -101,16 +115,18 @@ _NOT_NAMES = frozenset(
     "such than that the their them then there these they this those through ticket too under until very was were what when where which while who why will with within without write you your "
     "tel attn filed remember reported identity file host build ratio phone number".split()
 )
+#: Forms of companies and offices, and kinds of streets, that follow a name.
 _COMPANY = re.compile(
-    r"^[\s,&]*(?:&|and sons|sons|holdings?|freight|papers?|mills?|looms?|marine|optics|ceramics|castings?|dairies|ltd|llc|inc|gmbh|corp|company|co\b|group|board|desk|service|services|gateway|pipeline|"
-    r"street|st\b|road|rd\b|avenue|ave\b|lane|court|terrace|blvd|drive|square)\b", re.I
+    r"^[\s,&]*(?:&|and sons\b|sons\b|brothers\b|holdings?\b|ltd\b|limited\b|llc\b|llp\b|inc\b|plc\b|gmbh\b|ag\b|corp\b|corporation\b|company\b|co\b|group\b|partners\b|associates\b|board\b|desk\b|services?\b|"
+    r"gateway\b|pipeline\b|street\b|st\b|road\b|rd\b|avenue\b|ave\b|lane\b|court\b|terrace\b|blvd\b|drive\b|square\b)",
+    re.I,
 )
+#: A capitalised word right behind: with it the words name an organisation, unless it is a name part too.
+_NEXT_CAPITAL = re.compile(r"^ ([A-Z][a-z]{2,})\b")
 _NAME_BEFORE = re.compile(
-    r"(?:name is|name\W{1,4}|spoke with|signed by|attn:|from:|to:|call|met|and|reported by|ship to|on file:|dear|cc|contact:?|with|by)\s*[\"']?\s*$|[\n;{\"]\s*$|^\s*$|[.!?]\s+$", re.I
-)
-_NAME_AFTER = re.compile(
-    r"^[\"']?(?:'s (?:new )?(?:number|phone|mail|email|address)|\s*(?:gave|lives at|asked us|can be reached|about the invoice|this morning|there\b|\(|<|;|,? phone|, mail|\s*\"\s*,\s*\"mail))", re.I
+    r"(?:\bname(?: is|\W{1,4})|\b(?:with|by|from|to|of|and|dear|cc|attn|contact|met|call|called|signed|reported|filed|file):?)\s*[\"']?\s*$|[\n;{\"]\s*$|^\s*$|[.!?]\s+$", re.I
 )
+_NAME_AFTER = re.compile(r"^[\"']?(?:'s\b|\s*[(<;]|,? (?:phone|mail|tel)\b|\s+(?:about|yesterday|today|this|last|next|can|will|lives|works|gave|asked|said|wrote|called|signed|sent)\b|\s*\"\s*,\s*\")", re.I)
 
 
 def _verhoeff(digits: str) -> bool:
@@ -138,9 +154,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(text: str) -> bool:
-    """ISO 7064 mod 97-10 over letters as 10..35 and digits: the remainder is 1."""
-    return int("".join(str(int(c, 36)) for c in text)) % 97 == 1
+def mod97_rest(digits: str) -> int:
+    return int(digits) % 97
 
 
 def _mod11_10(digits: str) -> bool:
@@ -170,11 +185,35 @@ def confirmed(form: str, text: str) -> bool:
         return number.isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23] == body[-1]
     if form == "ssn":
         return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
-    if form == "any":
-        return len(digits) >= 9 and text.isdigit() and luhn(digits) or len(text) > 14 and text[:2].isalpha() and mod97(text[4:] + text[:4])
+    if form == "insee":
+        # The key is what the first 13 lack to a multiple of 97; the two Corsican departments count as 19 and 18.
+        body = text.replace(" ", "").replace("2A", "19").replace("2B", "18")
+        return mod97_rest(body[:13]) + int(body[13:]) == 97
+    if form == "belgian":
+        # Born from 2000 on, a 2 goes before.
+        return any(mod97_rest(front + digits[:9]) + int(digits[9:]) == 97 for front in ("", "2"))
+    if form in ("sin", "any"):
+        return len(digits) >= 9 and text.replace("-", "").replace(" ", "").isdigit() and luhn(digits)
     return False
 
 
+def identity_score(form: str, text: str, before: str, after: str) -> float:
+    """How surely a span of a form is an identity number, by its checksum and the words around it."""
+    digits = re.sub(r"\D", "", text)
+    if len(digits) > 5 and len(set(digits)) == 1:
+        return 0.0  # a filler such as 000-00-0000
+    score = _IDENTITY_BASE[form]
+    if confirmed(form, text):
+        score += _PASSED
+    elif form in _CHECKED:
+        score -= _FAILED
+    if _IDENTITY_CUE.search(before):
+        return score + _CUE
+    if _IDENTITY_NEAR.search(before) or _IDENTITY_AFTER.search(after):
+        score += _NEAR
+    return score - _AGAINST * bool(_NUMBER_AGAINST.search(before))
+
+
 class Lexicon:
     """Known name parts, and endings typical of them."""
 
@@ -236,6 +275,9 @@ def _names(text: str, lexicon: Lexicon, taken: list[tuple[int, int]], mail_near:
             a, b = tokens[i][0], tokens[i + n - 1][1]
             if _overlaps(taken, a, b) or (_COMPANY.match(text[b : b + 20]) and not text[b : b + 2].startswith(".")):
                 continue
+            behind = _NEXT_CAPITAL.match(text[b : b + 24])
+            if behind and not any(lexicon.part(behind[1])):
+                continue
             if _NAME_BEFORE.search(text[max(0, a - 24) : a]):
                 score += 0.1
             if _NAME_AFTER.match(text[b : b + 24]):
@@ -331,10 +373,8 @@ def spans(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, str, float
         for m in _IDENTITY.finditer(text):
             if _overlaps(taken, *m.span()):
                 continue
-            form = m.lastgroup
-            before = text[max(0, m.start() - 48) : m.start()]
-            cue = bool(_IDENTITY_CUE.search(before))
-            score = _IDENTITY_BASE[form] + 0.2 * confirmed(form, m.group()) + 0.6 * cue - 0.6 * (not cue and bool(_NUMBER_AGAINST.search(before)))
+            form = next(f for f in _IDENTITY_BASE if m.group(f) is not None)
+            score = identity_score(form, m.group(), text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 32])
             if score >= ACCEPT:
                 add(*m.span(), "identity_number", min(score, 1.0))
         for m in _PHONE.finditer(text):

@@ -44,6 +44,38 @@ def test_kinds(text, kinds):
     assert sorted(k for *_, k, _ in pii.spans(text, LEXICON)) == sorted(kinds)
 
 
+def _identity(text):
+    return [text[a:b] for a, b, kind, _ in pii.spans(text, LEXICON) if kind == "identity_number"]
+
+
+def test_checksums_decide_where_words_do_not():
+    twelve = next(f"2345 6789 01{n:02d}" for n in range(100) if pii.confirmed("twelve", f"2345 6789 01{n:02d}"))
+    other = twelve[:-1] + str((int(twelve[-1]) + 1) % 10)
+    assert pii.confirmed("twelve", twelve) and not pii.confirmed("twelve", other)
+    # Directly behind the word that names it either counts; further off only the one that passes.
+    assert _identity(f"aadhaar {twelve}") == [twelve] and _identity(f"aadhaar {other}") == [other]
+    assert _identity(f"as on the aadhaar of the tenant we read {twelve}") == [twelve] and _identity(f"as on the aadhaar of the tenant we read {other}") == []
+    assert _identity(f"the counter shows {twelve}") == []
+    # A long specific form that passes mod 97 needs no word; one that fails needs it.
+    body = "1 85 05 78 006 084"
+    key = 97 - int(body.replace(" ", "")) % 97
+    assert _identity(f"filed under {body} {key:02d} since May") == [f"{body} {key:02d}"]
+    assert _identity(f"filed under {body} {(key + 1) % 97:02d} since May") == []
+    belgian = "85.07.30-033"
+    good = f"{belgian}.{97 - 850730033 % 97:02d}"
+    assert _identity(f"holder {good}") == [good] and _identity(f"holder {belgian}.{(97 - 850730033 % 97) % 96 + 1:02d}") == []
+    # Luhn: a word near it is enough for a number that passes.
+    good = next(f"046 454 {n}" for n in range(100, 999) if pii.luhn(f"046454{n}"))
+    bad = good[:-1] + str((int(good[-1]) + 1) % 10)
+    assert _identity(f"tax number of the second tenant is {good}") == [good] and _identity(f"tax number of the second tenant is {bad}") == []
+    # Issued social security numbers need no word; numbers that cannot be issued do, and fillers are none at all.
+    assert _identity("holder 123-45-6789") == ["123-45-6789"] and _identity("holder 923-45-6789") == []
+    assert _identity("SSN 923-45-6789") == ["923-45-6789"] and _identity("my ssn is 000-00-0000") == []
+    # A weak form that fails is refused even behind the word.
+    nhs = next(f"943 476 {n}" for n in range(1000, 9999) if pii.confirmed("nhs", f"943 476 {n}"))
+    assert _identity(f"NHS number {nhs}") == [nhs] and _identity(f"NHS number {nhs[:-1]}{(int(nhs[-1]) + 1) % 10}") == []
+
+
 def test_redaction_keeps_the_rest():
     text = "Ask Mira Soquist (m@x.test), now."
     assert pii.redacted(text, LEXICON) == "Ask [PERSON_NAME] ([EMAIL]), now."
@@ -57,7 +89,7 @@ def test_long_text_is_read_to_its_end():
 
 def test_checksums():
     assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468")
-    assert pii.mod97("3214282912345698765432161182") and not pii.mod97("3214282912345698765432161183")
+    assert pii.mod97_rest("3214282912345698765432161182") == 1
     assert pii.confirmed("twelve", "2363 0000 0000") == (pii._verhoeff("236300000000") or pii.luhn("236300000000"))
     assert pii._verhoeff("2363") and not pii._verhoeff("2364")
     assert pii.confirmed("dni", "12345678Z") and not pii.confirmed("dni", "12345678A")
