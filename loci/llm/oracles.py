@@ -25,7 +25,48 @@ shares AS (
 ordered AS (SELECT trace_id, memory_id, list_sort([p1, p2, p3]) AS w FROM shares),
 ranked AS (SELECT trace_id, memory_id, w, rank() OVER (PARTITION BY trace_id ORDER BY w[1] DESC, w[2] DESC, w[3] DESC) AS r FROM ordered)"""
 
+#: The limits of a source, how a text ends, and what is cut.
+_ENDS = r"""
+texts AS (SELECT DISTINCT source, text FROM documents WHERE length(trim(text)) > 0),
+lens AS (
+  SELECT source, 'chars' AS unit, length(text) AS n FROM texts
+  UNION ALL SELECT source, 'bytes', strlen(text) FROM texts),
+tops AS (SELECT *, max(n) OVER (PARTITION BY source, unit) AS top FROM lens),
+counts AS (
+  SELECT source, unit, top, count(*) FILTER (n > top - 4) AS texts_at_limit, count(*) FILTER (n > top / 2 AND n <= top - 4) AS upper
+  FROM tops GROUP BY 1, 2, 3),
+limits AS (
+  SELECT source, max(top) FILTER (unit = 'chars') AS max_chars, max(top) FILTER (unit = 'bytes') AS max_bytes FROM counts
+  WHERE texts_at_limit >= 5 AND texts_at_limit >= 20.0 * upper / greatest(top / 2 - 4, 1) GROUP BY 1),
+tails AS (SELECT doc_id, source, text, regexp_replace(right(text, 400), '\s+$', '') AS tail FROM documents),
+lines AS (
+  SELECT *, trim(split_part(tail, chr(10), -1)) AS last, trim(coalesce(string_split(tail, chr(10))[-2], '')) AS before,
+    (length(text) - length(replace(text, '```', ''))) // 3 AS fences FROM tails),
+ends AS (
+  SELECT doc_id, source, text, CASE
+    WHEN text IS NULL OR length(tail) = 0 THEN 'blank'
+    WHEN regexp_matches(tail, '(\.\.\.|…|\x{FFFD}|\[\.\.\.\]|\[…\]|[\[(<](truncated|cut|snip|more)[\])>])["''”’)\]]*$') THEN 'marked'
+    WHEN regexp_matches(last, '^\s*[-*>]?\s*(\d{1,3}|[a-zA-Z])[.)]$') THEN 'number'
+    WHEN regexp_matches(tail, '(^|[^.])[.!?。！？]["''”’»)\]}*_`]*$') OR regexp_matches(tail, '[.!?:"”]\s*[(\[][^()\[\]\n]{1,60}[)\]]$') THEN 'terminal'
+    WHEN last = '```' AND fences % 2 = 0 THEN 'closing'
+    WHEN regexp_matches(before, '(?i)^(best|best regards|regards|kind regards|thanks|thank you|cheers|sincerely|yours|viele grüße|mit freundlichen grüßen|grüße|saludos|un saludo|gracias),?$')
+      AND regexp_matches(last, '^\p{Lu}[\p{L}''-]*( \p{Lu}[\p{L}''.-]*){0,2}$') THEN 'closing'
+    WHEN regexp_matches(last, '^(--?\s*\p{L}[\p{L} .''-]{0,40}|(#[\p{L}\d_-]+\s*)+|EOF|END|###|[-*] \[[ xX]\] \p{L}+|[\[(<][^\[\]()<>\n]{1,60}[\])>]|<?https?://\S+>?)$') THEN 'closing'
+    ELSE 'open' END AS ending FROM lines),
+assessed AS (
+  SELECT doc_id, e.source, ending, at_limit, ending IN ('open', 'marked') OR (at_limit AND ending IN ('closing', 'number')) AS truncated
+  FROM (SELECT e.*, coalesce(length(text) > max_chars - 4, false) OR coalesce(strlen(text) > max_bytes - 4, false) AS at_limit
+    FROM ends e LEFT JOIN limits m ON m.source IS NOT DISTINCT FROM e.source) e)"""
+
 ORACLES = {
+    "p9_found": f"""
+WITH {_ENDS}
+SELECT DISTINCT doc_id FROM assessed WHERE truncated""",
+    "p9_shares": f"""
+WITH {_ENDS}
+SELECT source, count(*) AS texts, count(*) FILTER (truncated)::BIGINT AS truncated, count(*) FILTER (truncated AND at_limit)::BIGINT AS at_limit,
+  round(avg(truncated::INT), 6)::DOUBLE AS share
+FROM assessed WHERE ending <> 'blank' GROUP BY 1""",
     "p2_found": f"""
 WITH {_USABLE},
 pairs AS (

@@ -122,7 +122,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncation_shares(table(spark, d, "documents", "doc_id", "text", "source"))
+    return truncation.truncation_shares(table(spark, d, "documents", "doc_id", "text", "source")).withColumn("share", F.round("share", 6))
 
 
 def p9_limits(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Texts cut off by a length limit of their source, or in transfer.
 
-Two signs are combined. A source with a limit leaves a spike at the maximum of its length
-histogram, in characters or in bytes; a value at such a length is cut unless it ends in terminal
-punctuation. Elsewhere a text is cut if it stops inside a word or a sentence: its last line neither
-ends in terminal punctuation nor is a known closing line (signature, sign-off, tags, fence, link).
+A source with a limit leaves a spike at the maximum of its length histogram, in characters or in
+bytes; a value at such a length is cut unless it ends a sentence. The spike decides for the endings
+that say little by themselves: a closing line (signature, sign-off, tags, fence, link) or the bare
+number of a list item ends many complete texts, but not one that has just the length of the limit.
+Away from a spike, where only a transfer can have cut it, a text is cut if it bears a mark or stops
+inside a word or a sentence.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ SPIKE_WIDTH = 4
 SPIKE_TEXTS = 5
 SPIKE_DENSITY = 5.0
 
-_TERMINAL = r"""(?<!\.)[.!?。！？]["'”’»)\]}*_`]*$"""
+_TERMINAL = r"""(^|[^.])[.!?。！？]["'”’»)\]}*_`]*$"""
 _CUT_MARK = r"""(\.\.\.|…|\x{FFFD}|\[\.\.\.\]|\[…\]|[\[(<](truncated|cut|snip|more)[\])>])["'”’)\]]*$"""
 _NUMBER_ONLY = r"^\s*[-*>]?\s*(\d{1,3}|[a-zA-Z])[.)]$"
 _CLOSED_REMARK = r"""[.!?:"”]\s*[(\[][^()\[\]\n]{1,60}[)\]]$"""
@@ -34,10 +36,11 @@ _SIGN_OFF = r"(?i)^(best|best regards|regards|kind regards|thanks|thank you|chee
 
 
 def ending(text: Column) -> Column:
-    """How a text ends: 'blank', 'marked', 'terminal', 'closing' or 'open'.
+    """How a text ends: 'blank', 'marked', 'terminal', 'closing', 'number' or 'open'.
 
     'marked' bears a cut mark (ellipsis, replacement character, "[truncated]"); 'closing' ends in a
-    line that finishes a text without punctuation; 'open' stops inside a word or a sentence. Null
+    line that finishes a text without punctuation, 'number' in the bare number of a list item with
+    its full stop or bracket; 'open' stops inside a word or a sentence. Null
     and white-space texts are 'blank'. Only the last 400 characters are matched against patterns;
     code fences are counted over the whole text.
     """
@@ -51,7 +54,7 @@ def ending(text: Column) -> Column:
     return (
         F.when(text.isNull() | (F.length(tail) == 0), "blank")
         .when(tail.rlike(_CUT_MARK), "marked")
-        .when(last.rlike(_NUMBER_ONLY), "open")
+        .when(last.rlike(_NUMBER_ONLY), "number")
         .when(tail.rlike(_TERMINAL) | tail.rlike(_CLOSED_REMARK), "terminal")
         .when(fenced | signed | last.rlike(_CLOSING_LINE), "closing")
         .otherwise("open")
@@ -113,7 +116,7 @@ def assessed(docs: DataFrame, ident: str = "doc_id", text: str = "text", source:
     at = (F.col("chars") > F.col("max_chars") - SPIKE_WIDTH) | (F.col("bytes") > F.col("max_bytes") - SPIKE_WIDTH)
     joined = rows.alias("r").join(limits.alias("m"), F.col("r.source").eqNullSafe(F.col("m.source")), "left")
     at = F.coalesce(at, F.lit(False))
-    cut = F.col("ending").isin("open", "marked") | (at & (F.col("ending") == "closing"))
+    cut = F.col("ending").isin("open", "marked") | (at & F.col("ending").isin("closing", "number"))
     return joined.select(
         F.col("r.id").alias(ident), F.col("r.source").alias(source), "ending", at.alias("at_limit"), cut.alias("truncated")
     )

@@ -494,7 +494,7 @@ def test_proximity_finds_reworded_material(spark):
     "text,how",
     [
         ("All is well.", "terminal"), ('He said "go."', "terminal"), ("Is it? (see job 44)", "terminal"), ("Done!", "terminal"), (None, "blank"), (" \n", "blank"), ("", "blank"),
-        ("The courier went to", "open"), ("One.\n12.", "open"), ("The archive...", "marked"), ("The archi…", "marked"), ("The arch�", "marked"), ("Half of it [truncated]", "marked"),
+        ("The courier went to", "open"), ("One.\n12.", "number"), ("The archive...", "marked"), ("The archi…", "marked"), ("The arch�", "marked"), ("Half of it [truncated]", "marked"),
         ("Fine.\n\n-- Mira", "closing"), ("Fine.\n\nBest,\nMira", "closing"), ("Fine.\n\n#memory #recall", "closing"), ("Run:\n```\nmake\n```", "closing"), ("Run:\n```\nmake", "open"), ("Run:\n```", "open"),
         ("Fine.\n\nhttps://docs.test/x", "closing"), ("Fine.\n\n- [x] done", "closing"), ("EOF", "closing"), ("Fine.\n\n[end of transcript]", "terminal"), ("A.\n\n## Outcome", "open"), ("Bob: said the", "open"),
     ],
@@ -504,6 +504,14 @@ def test_endings(spark, text, how):
     assert row["e"] in ({how, "closing"} if how == "terminal" and text.endswith("]") else {how})
 
 
+def test_the_spike_decides_for_endings_that_say_little(spark):
+    ends = ["\n12.", "\n- Mira", "\nthe", "done."]
+    rows = [(i, ("x" * 300)[: 100 - len(ends[i % 4]) - i // 4 % 2] + str(i // 8 % 10) + ends[i % 4], "limited") for i in range(80)]
+    rows += [(100 + i, "y" * (50 + 3 * i) + ends[i % 4], "free") for i in range(40)]
+    got = {r["doc_id"]: r["truncated"] for r in truncation.assessed(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert [got[i] for i in range(4)] == [True, True, True, False] and [got[100 + i] for i in range(4)] == [False, False, True, False]
+
+
 def test_limits_and_shares(spark):
     rows = []
     for i in range(60):
