@@ -3,7 +3,8 @@
 Each score becomes a percentile within its group; an item's own percentiles are sorted ascending
 and items are compared by those arrays, the weakest score first, so that no single score can mask
 a weak one and no scale counts. Percentiles come from two-level running counts over value
-frequencies, so a group with a third of all rows is no single task.
+frequencies, so a group with a third of all rows, or one score that many items share, is no single
+task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loci.operators.skew import cumulative, value_frequencies
+from loci.operators.skew import value_frequencies
+from loci.runtime import stored
 
 
 def _evidence(score: str) -> Column:
@@ -22,28 +24,43 @@ def _evidence(score: str) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c) & (c >= 0), c)
 
 
+#: Ranges of values per doubling; only balance depends on it, never results.
+_PER_DOUBLING = 256
+
+
+def _range(value: Column) -> Column:
+    """A number that grows with the value, the same for all groups, so that borders cost no pass over the data."""
+    return F.when(value > 0, F.floor(F.log2(value) * _PER_DOUBLING)).otherwise(F.when(value == 0, F.lit(-(2**40))).otherwise(F.lit(-(2**41)))).cast("bigint")
+
+
 def leximin_scores(df: DataFrame, group: str, item: str, scores: Sequence[str]) -> DataFrame:
     """``(group, item, weakest_first)``: each item once, with its percentiles in ascending order.
 
-    A percentile is the share of the group's items whose score is at most as high; null, NaN and
-    negative scores are no evidence and get 0. Rows repeated under one (group, item) count once,
-    each score by its highest evidence. Rows with null group or item take no part. Other columns
-    are ignored.
+    A percentile is the share of the group's other items whose score is lower, so a score that many
+    share ranks no higher than the lowest place of theirs; null, NaN and negative scores are no
+    evidence, below all others, and get 0. Rows repeated under one (group, item) count once, each
+    score by its highest evidence. Rows with null group or item take no part. Other columns are
+    ignored.
     """
     named = df.select(F.col(group).alias("__g"), F.col(item).alias("__i"), *[_evidence(s).alias(f"__s{k}") for k, s in enumerate(scores)])
     named = named.where(F.col("__g").isNotNull() & F.col("__i").isNotNull())
     cols = [f"__s{k}" for k in range(len(scores))]
-    one = named.groupBy("__g", "__i").agg(*[F.max(c).alias(c) for c in cols])
-    # All scores in one pass: (group, score number, value) -> share of items at or below.
-    long = one.select("__g", "__i", F.posexplode(F.array(*cols)).alias("k", "value"))
-    # Without evidence sorts below every score, so that totals are the group's items.
-    filled = long.withColumn("value", F.coalesce("value", F.lit(-1.0)))
-    run = cumulative(value_frequencies(filled, ["__g", "k"], "value"), ["__g", "k"], "value")
-    share = F.when(F.col("value") < 0, F.lit(0.0)).otherwise((F.col("below") + F.col("n")) / F.col("total"))
-    shares = run.select("__g", "k", "value", share.alias("share"))
-    placed = filled.join(shares, ["__g", "k", "value"])
+    # Read twice, for the frequencies and for the items.
+    one = stored(named.groupBy("__g", "__i").agg(*[F.max(c).alias(c) for c in cols]), "items")
+    long = one.select("__g", "__i", F.posexplode(F.array(*[F.coalesce(c, F.lit(-1.0)) for c in cols])).alias("k", "value"))
+    freq = value_frequencies(long, ["__g", "k"], "value").withColumn("r", _range(F.col("value")))
+    inside = Window.partitionBy("__g", "k", "r").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored(freq.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))), "places")
+    sums = placed.groupBy("__g", "k", "r").agg(F.sum("n").alias("m"))
+    all_of = Window.partitionBy("__g", "k")
+    before = F.coalesce(F.sum("m").over(all_of.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__g", "k", "r", before.alias("before"), F.sum("m").over(all_of).alias("total"))
+    share = (F.col("before") + F.col("inner")) / F.greatest(F.col("total") - 1, F.lit(1))
+    shares = placed.where("value >= 0").join(sums, ["__g", "k", "r"]).select("__g", "k", "value", share.alias("share"))
+    known = long.where("value >= 0").join(shares, ["__g", "k", "value"]).select("__g", "__i", "share")
+    every = known.unionByName(long.where("value < 0").select("__g", "__i", F.lit(0.0).alias("share")))
     return (
-        placed.groupBy("__g", "__i")
+        every.groupBy("__g", "__i")
         .agg(F.sort_array(F.collect_list("share")).alias("weakest_first"))  # as many entries as scores
         .select(F.col("__g").alias(group), F.col("__i").alias(item), "weakest_first")
     )
@@ -52,13 +69,9 @@ def leximin_scores(df: DataFrame, group: str, item: str, scores: Sequence[str])
 def leximin_first(df: DataFrame, group: str, item: str, scores: Sequence[str]) -> DataFrame:
     """``(group, item)``: the first of each group; ties go to the smallest item."""
     ranked = leximin_scores(df, group, item, scores)
-    best = ranked.groupBy(group).agg(F.max("weakest_first").alias("__best"))
-    return (
-        ranked.join(best, group)
-        .where(F.col("weakest_first") == F.col("__best"))
-        .groupBy(group)
-        .agg(F.min(item).alias(item))
-    )
+    # The least of the negated arrays, then of the items: one aggregate that combines before the shuffle.
+    best = F.min(F.struct(F.transform("weakest_first", lambda x: -x).alias("a"), F.col(item).alias("i")))
+    return ranked.groupBy(group).agg(best.alias("__best")).select(group, F.col("__best.i").alias(item))
 
 
 def leximin_ranks(df: DataFrame, group: str, item: str, scores: Sequence[str]) -> DataFrame:
@@ -67,7 +80,8 @@ def leximin_ranks(df: DataFrame, group: str, item: str, scores: Sequence[str]) -
     Ranks are running counts over distinct arrays, in order-preserving ranges of the arrays' first
     entries above 0, so a hot group is split by range.
     """
-    ranked = leximin_scores(df, group, item, scores).withColumnsRenamed({group: "__g", item: "__i"})
+    # Read twice, for the order of the arrays and for the items.
+    ranked = stored(leximin_scores(df, group, item, scores).withColumnsRenamed({group: "__g", item: "__i"}), "ranked")
     freq = value_frequencies(ranked, ["__g"], "weakest_first", "arr")
     # More entries of 0 come last; among as many, the first entry above 0 decides before all others.
     grid = 1000.0

@@ -18,9 +18,9 @@ clean AS (
   FROM trace_candidates WHERE trace_id IS NOT NULL AND memory_id IS NOT NULL GROUP BY 1, 2),
 shares AS (
   SELECT trace_id, memory_id,
-    CASE WHEN s1 IS NULL THEN 0 ELSE cume_dist() OVER (PARTITION BY trace_id ORDER BY s1 NULLS FIRST) END AS p1,
-    CASE WHEN s2 IS NULL THEN 0 ELSE cume_dist() OVER (PARTITION BY trace_id ORDER BY s2 NULLS FIRST) END AS p2,
-    CASE WHEN s3 IS NULL THEN 0 ELSE cume_dist() OVER (PARTITION BY trace_id ORDER BY s3 NULLS FIRST) END AS p3
+    percent_rank() OVER (PARTITION BY trace_id ORDER BY s1 NULLS FIRST) AS p1,
+    percent_rank() OVER (PARTITION BY trace_id ORDER BY s2 NULLS FIRST) AS p2,
+    percent_rank() OVER (PARTITION BY trace_id ORDER BY s3 NULLS FIRST) AS p3
   FROM clean),
 ordered AS (SELECT trace_id, memory_id, list_sort([p1, p2, p3]) AS w FROM shares),
 ranked AS (SELECT trace_id, memory_id, w, rank() OVER (PARTITION BY trace_id ORDER BY w[1] DESC, w[2] DESC, w[3] DESC) AS r FROM ordered)"""
