@@ -1,4 +1,4 @@
-"""Word lists and patterns that results depend on, in natural order."""
+"""Word lists and patterns that results depend on. Sets are sorted; lists whose order decides keep it."""
 
 # Fixed values.
 KEYWORD_STOP = "a an are did do does for how i in is it my of on our project that the this to use was we were what when where which who with".split()
@@ -21,7 +21,7 @@ NEGATION_MARKS = ["aren't ", "doesn't ", "don't ", "isn't ", "never ", "no longe
 
 # Fixed values.
 REPLACEMENT_MARKS = [
-    "changed to", "downgraded to", "instead of", "migrated to", "moved to", "no longer", "not anymore", "replaced", "switched to", "updated to", "upgraded to",
+    "switched to", "migrated to", "changed to", "moved to", "replaced", "no longer", "instead of", "not anymore", "updated to", "upgraded to", "downgraded to",
 ]
 
 # Fixed values.
@@ -83,5 +83,6 @@ QUESTION_CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "sing
 TRIM_TOKEN = ".,;:!?\"'()[]{}<>"
 TRIM_KEYWORD = ".,;:!?\"'()[]{}<>-"
 TRIM_EMBED = ".,;:!?\"'()[]{}/-"
+TRIM_TOPIC = ".,;:!?\"'()[]{}/-"
 TRIM_SIGNIFICANT = ".,;:!?\"'()-"
 TRIM_ENTITY = ".,;:!?\"'“”()[]{}"

@@ -107,7 +107,7 @@ def classified(text: Column) -> Column:
 def topics(text: Column) -> Column:
     """The first four different technical terms among the words."""
     known = _words(*L.TOPICS)
-    return F.slice(F.array_distinct(F.filter(content_tokens(text), lambda w: F.array_contains(known, w))), 1, 4)
+    return F.slice(F.array_distinct(F.filter(_edge_split(text, L.TRIM_TOPIC), lambda w: F.array_contains(known, w))), 1, 4)
 
 
 def is_ordered_subsequence(inner: Column, outer: Column) -> Column:
@@ -167,14 +167,14 @@ def has_negation(text: Column) -> Column:
 
 
 def triples(text: Column) -> Column:
-    """Array of (verb, subject, object): for each verb at its first place, the last three meaningful words before and the first three after."""
+    """Array of (verb, subject, object): for each verb at its first place, the last three meaningful words before and the first three after. Words of one byte say nothing."""
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     stop = _words(*L.SUBJECT_STOP)
 
     def one(verb: str) -> Column:
         mark = f" {verb} "
         at = F.instr(low, mark)
-        words = lambda s: F.filter(F.transform(F.split(F.trim(s), r"\s+"), lambda w: F.btrim(w, F.lit(L.TRIM_SIGNIFICANT))), lambda w: w != "")
+        words = lambda s: F.filter(F.transform(F.split(F.trim(s), r"\s+"), lambda w: F.btrim(w, F.lit(L.TRIM_SIGNIFICANT))), lambda w: F.octet_length(w) > 1)
         before = F.filter(words(F.substring(low, F.lit(1), at - 1)), lambda w: ~F.array_contains(stop, w))
         after = words(F.substring(low, at + len(mark), F.length(low)))
         subject = F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), F.lit(3))
@@ -197,25 +197,30 @@ def contradiction_features(text: Column, tags: Column) -> Column:
         significant_words(without_negation(text)).alias("plain"),
         triples(text).alias("triples"),
         has_negation(text).alias("denied"),
-        _has_any(F.lower(text), L.REPLACEMENT_MARKS).alias("replaces"),
+        F.get(F.filter(_words(*L.REPLACEMENT_MARKS), lambda m: F.lower(text).contains(m)), F.lit(0)).alias("replaces"),
         tags.alias("tags"),
     )
 
 
 def contradiction(new: Column, old: Column) -> Column:
-    """Struct (reason, confidence) of the first rule that holds between two feature structs, or null."""
+    """Struct (reason, confidence) of the first rule that holds between two feature structs, or null; the reason names the signal, or what is said of what."""
     overlap = jaccard(new["words"], old["words"])
     tags = tag_ratio(new["tags"], old["tags"])
-    replaced = new["replaces"] & ((overlap >= 0.15) | (tags >= 0.3))
-    clash = F.exists(
-        new["triples"],
-        lambda x: F.exists(old["triples"], lambda y: (x["verb"] == y["verb"]) & (x["subject"] == y["subject"]) & (x["object"] != y["object"]) & ~refines(x["object"], y["object"])),
-    )
+    replaced = new["replaces"].isNotNull() & ((overlap >= 0.15) | (tags >= 0.3))
+    other = lambda x, y: (x["verb"] == y["verb"]) & (x["subject"] == y["subject"]) & (x["object"] != y["object"]) & ~refines(x["object"], y["object"])
+    said = lambda x, y: F.concat(x["subject"], F.lit(" "), x["verb"], F.lit(": "), F.array_join(x["object"], " "), F.lit(" vs "), F.array_join(y["object"], " "))
+    clashes = F.flatten(F.transform(new["triples"], lambda x: F.transform(F.filter(old["triples"], lambda y: other(x, y)), lambda y: said(x, y))))
+    clash = F.get(clashes, F.lit(0))
     plain = jaccard(new["plain"], old["plain"])
     denied = (plain >= 0.4) & (new["denied"] != old["denied"])
     vague = (F.size(new["tags"]) > 0) & (F.size(old["tags"]) > 0) & (tags >= 0.5) & (plain >= 0.3) & (plain < 0.8)
-    made = lambda reason, c: F.struct(F.lit(reason).alias("reason"), F.lit(c).alias("confidence"))
-    return F.when(replaced, made("replacement", 0.9)).when(clash, made("property", 0.85)).when(denied, made("negation", 0.8)).when(vague, made("tags", 0.5))
+    made = lambda reason, c: F.struct(reason.alias("reason"), F.lit(c).alias("confidence"))
+    return (
+        F.when(replaced, made(F.concat(F.lit("replacement signal: "), new["replaces"]), 0.9))
+        .when(clash.isNotNull(), made(clash, 0.85))
+        .when(denied, made(F.lit("negation conflict with high similarity"), 0.8))
+        .when(vague, made(F.lit("shared tags with divergent content"), 0.5))
+    )
 
 
 def lexical_relevance(text: Column, tags: Column, words: Column) -> Column:

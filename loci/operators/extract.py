@@ -20,13 +20,13 @@ def rule_extract(conversations: DataFrame) -> DataFrame:
     """``(conversation_id, seq, content, type, tags)`` of ``conversations(conversation_id, text)``.
 
     Line by line: speaker labels are dropped, lines under ten bytes and noise left out, the rest
-    classified; tags are the rule's tag and the topics. A content repeated in one conversation,
+    classified; tags are the topics and the rule's tag. A content repeated in one conversation,
     letter case aside, counts once, at its first place. Null texts give nothing.
     """
     lines = conversations.select("conversation_id", F.posexplode(X.utterances(F.col("text"))).alias("seq", "line"))
     lines = lines.where(F.octet_length("line") >= 10).select("conversation_id", "seq", F.trim(X.strip_speaker(F.col("line"))).alias("content"))
     typed = lines.withColumn("c", X.classified(F.col("content"))).where("c.type is not null")
-    tags = F.concat(F.when(F.col("c.tag").isNotNull(), F.array("c.tag")).otherwise(F.array().cast("array<string>")), X.topics(F.col("content")))
+    tags = F.concat(X.topics(F.col("content")), F.when(F.col("c.tag").isNotNull(), F.array("c.tag")).otherwise(F.array().cast("array<string>")))
     rows = typed.select("conversation_id", "seq", "content", F.col("c.type").alias("type"), tags.alias("tags"))
     first = rows.groupBy("conversation_id", F.lower("content").alias("k")).agg(F.min_by(F.struct("seq", "content", "type", "tags"), "seq").alias("r"))
     return first.select("conversation_id", "r.*")

@@ -57,8 +57,12 @@ def autolinks(new: DataFrame, memories: DataFrame, near: DataFrame, superseded:
     """relates_to edges of new memories: a common tag with one of the project's newest, or a similarity on or above the floor of its neighbours.
 
     The floor is the mean of the similarities plus one population deviation, or the mean with fewer
-    than three neighbours. A pair found both ways has the greater weight. Superseded ones are left out.
+    than three neighbours. A pair found both ways has the greater weight. Superseded ones are left
+    out before, so they do not count in the floor either.
     """
+    if superseded is not None:
+        gone = superseded.select(F.col("from_id").alias("new_id"), F.col("to_id").alias("other_id")).distinct()
+        near = near.join(gone, ["new_id", "other_id"], "left_anti")
     recent = newest(memories, LINK_CANDIDATES, "tags").select(F.col("id").alias("other_id"), "project_id", F.col("tags").alias("their"))
     fresh = new.select(F.col("id").alias("new_id"), "project_id", F.col("tags").alias("mine"))
     lower = lambda c: F.transform(c, F.lower)
@@ -69,7 +73,7 @@ def autolinks(new: DataFrame, memories: DataFrame, near: DataFrame, superseded:
     by_vector = near.join(stats.select("new_id", floor.alias("floor")), "new_id").where(F.round("similarity", 9) >= F.round("floor", 9)).select("new_id", "other_id", F.col("similarity").alias("weight"))
     both = by_tag.unionByName(by_vector).groupBy("new_id", "other_id").agg(F.max("weight").alias("weight"))
     if superseded is not None:
-        both = both.join(superseded.select(F.col("from_id").alias("new_id"), F.col("to_id").alias("other_id")), ["new_id", "other_id"], "left_anti")
+        both = both.join(gone, ["new_id", "other_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc(F.round("weight", 9)), "other_id"))
     kept = both.withColumn("n", rank).where(F.col("n") <= most)
     return kept.select(F.col("new_id").alias("from_id"), F.col("other_id").alias("to_id"), F.lit("relates_to").alias("relationship"), "weight")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +23,8 @@ from loci.functions import vector as V
 from loci.runtime import stored
 
 
-#: Queries whose vectors are broadcast at once.
-QUERY_BLOCK = 10_000
+#: Queries whose vectors are broadcast at once, and bytes of vectors a task holds before it prunes them.
+QUERY_BLOCK, HELD_BYTES = 10_000, 64_000_000
 
 
 def postings(memories: DataFrame) -> DataFrame:
@@ -89,12 +90,29 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _best_in_batch(batches: Iterator[pa.RecordBatch], shared, dim: int, pool: int) -> Iterator[pa.RecordBatch]:
-    """Of each batch of vectors the rows that can be among the ``pool`` nearest of a query, by matrix products."""
+    """Of a task's vectors the rows that can be among the ``pool`` nearest of a query, by matrix products.
+
+    Batches are gathered up to a bound first, so that small projects are pruned as well.
+    """
     names, unit, scopes = shared.value
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        vectors = _unit(batch.column(2), dim)
+    names = pa.array(names, pa.string())
+
+    def gathered() -> Iterator[pa.Table]:
+        held, rows = [], 0
+        for b in batches:
+            if None not in scopes and b.num_rows:
+                b = b.filter(pc.is_in(b.column(1), pa.array([s for s in scopes if s is not None], pa.string())))
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows * dim * 8 > HELD_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    for batch in gathered():
+        vectors = _unit(batch.column(2).combine_chunks(), dim)
         places: dict[str, list[int]] = {}
         for i, place in enumerate(batch.column(1).to_pylist()):
             if place is not None and place in scopes:
@@ -102,17 +120,20 @@ def _best_in_batch(batches: Iterator[pa.RecordBatch], shared, dim: int, pool: in
         groups = [(np.array(rows), scopes[place]) for place, rows in places.items()]
         if None in scopes:
             groups.append((np.arange(batch.num_rows), scopes[None]))
-        for rows, asked in groups:
-            cos = unit[asked] @ vectors[rows].T
-            if rows.size > pool:
-                # Everything that ties with the last of the pool goes on; the final rank is by rounded cosine and id.
-                last = np.partition(cos, rows.size - pool, axis=1)[:, rows.size - pool]
-                q, r = np.nonzero(cos >= last[:, None] - 2e-9)
-            else:
-                q, r = (x.ravel() for x in np.indices(cos.shape))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[asked[i]] for i in q], pa.string()), batch.column(0).take(pa.array(rows[r])), pa.array(cos[q, r])], names=["query_id", "id", "cosine"]
-            )
+        ids = batch.column(0).combine_chunks()
+        for rows, every in groups:
+            # In slices of queries, so that the products stay bounded.
+            step = max(1, 4_000_000 // rows.size)
+            for lo in range(0, every.size, step):
+                asked = every[lo : lo + step]
+                cos = unit[asked] @ vectors[rows].T
+                if rows.size > pool:
+                    # Everything that ties with the last of the pool goes on; the final rank is by rounded cosine and id.
+                    last = np.partition(cos, rows.size - pool, axis=1)[:, rows.size - pool]
+                    q, r = np.nonzero(cos >= last[:, None] - 2e-9)
+                else:
+                    q, r = (x.ravel() for x in np.indices(cos.shape))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[q])), ids.take(pa.array(rows[r])), pa.array(cos[q, r])], names=["query_id", "id", "cosine"])
 
 
 def vector_pool(queries: DataFrame, embeddings: DataFrame, pool: int, dim: int) -> DataFrame:

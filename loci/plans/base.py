@@ -61,13 +61,14 @@ class Tables:
 
     @cached_property
     def asked(self) -> DataFrame:
-        """One question per project: its smallest memory id that has words and a vector is asked for again."""
+        """All questions of the held-out items, over all projects; and one per project: its smallest memory id that has words and a vector is asked for again."""
         both = self.kept.where("content is not null and project_id is not null").join(self.embeddings.select(F.col("memory_id").alias("id"), "embedding"), "id")
         first = both.groupBy("project_id").agg(F.min_by(F.struct("id", "content", "embedding"), "id").alias("r"))
         names = self.mentions.groupBy(F.col("memory_id").alias("mid"), "project_id").agg(F.collect_set("normalized_name").alias("entities"))
         one = first.select(F.col("project_id").alias("query_id"), "project_id", F.col("r.id").alias("mid"), F.col("r.content").alias("text"), "r.embedding")
         full = one.join(names, ["mid", "project_id"], "left").select("query_id", "project_id", "mid", "text", "embedding", "entities")
-        return stored(full, "asked")
+        items = self.raw("eval_items", "item_id", "question").where("item_id is not null and question is not null").select(F.concat(F.lit("item-"), "item_id").alias("query_id"), F.col("question").alias("text"))
+        return stored(full.unionByName(items, allowMissingColumns=True), "asked")
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -148,7 +149,8 @@ MEN = "men AS (SELECT DISTINCT memory_id, normalized_name, project_id FROM menti
 
 ASKED = """
 both_ AS (SELECT mem.id, mem.content, mem.project_id, emb.embedding FROM mem JOIN emb ON mem.id = emb.memory_id WHERE mem.content IS NOT NULL AND mem.project_id IS NOT NULL),
-asked AS (SELECT project_id AS query_id, project_id, min(id) AS mid, arg_min(content, id) AS text, arg_min(embedding, id) AS embedding FROM both_ GROUP BY project_id)"""
+asked AS (SELECT project_id AS query_id, project_id, min(id) AS mid, arg_min(content, id) AS text, arg_min(embedding, id) AS embedding FROM both_ GROUP BY project_id
+  UNION ALL SELECT 'item-' || item_id::VARCHAR, NULL, NULL, question, NULL FROM eval_items WHERE item_id IS NOT NULL AND question IS NOT NULL)"""
 
 COSINE = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 

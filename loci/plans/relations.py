@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +12,7 @@ from loci.functions import scoring as S
 from loci.functions import text as X
 from loci.operators import evaluate, extract, graph, ingest, maintain, memories, profile, retrieve
 from loci.plans.base import ASKED, COSINE, DIM, EDG, EMB, MEM, MEN, SQL_NOW, posted, query, sql_keywords, sql_tokens
-from loci.plans.texts import DECAY, HOURS, final_sql, sig
+from loci.plans.texts import DECAY, HOURS, final_sql, sig, sql_contradiction, sql_features
 from loci.runtime import stored
 from loci.sources import conversations
 
@@ -265,12 +267,12 @@ def chain(pool_kw: int = 50, pool_vec: int = 50, pool_ent: int = 25, fusion: str
     }[fusion]
     return f"""{MEM}, {EMB}, {EDG}, {MEN}, {ASKED}, {posted()}, {NAMES},
 qt AS (SELECT query_id, project_id, term, count(*) AS times FROM (SELECT query_id, project_id, unnest({sql_keywords('text')}) AS term FROM asked) GROUP BY 1, 2, 3),
-sz AS (SELECT project_id, count(*) AS n FROM mem GROUP BY 1),
-dfs AS (SELECT project_id, token, count(*) AS df FROM posted GROUP BY 1, 2),
+sz AS (SELECT project_id, count(*) AS n FROM mem WHERE project_id IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM mem),
+dfs AS (SELECT project_id, token, count(*) AS df FROM posted WHERE project_id IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT NULL, token, count(*) FROM posted GROUP BY 2),
 wt AS (SELECT query_id, qt.project_id, term, times, greatest(coalesce(df, 0), 1) AS df, n, ln(1 + (n - greatest(coalesce(df, 0), 1) + 0.5) / (greatest(coalesce(df, 0), 1) + 0.5)) AS idf
-  FROM qt LEFT JOIN dfs ON dfs.project_id = qt.project_id AND dfs.token = qt.term JOIN sz ON sz.project_id = qt.project_id),
+  FROM qt LEFT JOIN dfs ON dfs.project_id IS NOT DISTINCT FROM qt.project_id AND dfs.token = qt.term JOIN sz ON sz.project_id IS NOT DISTINCT FROM qt.project_id),
 sums AS (SELECT query_id, sum(times * idf) AS idf_sum, sum(times) AS terms FROM wt GROUP BY 1),
-kraw AS (SELECT query_id, p.id, sum(times * idf * 0.1 * tf) AS kw_raw FROM wt JOIN posted p ON p.token = wt.term AND p.project_id = wt.project_id GROUP BY 1, 2),
+kraw AS (SELECT query_id, p.id, sum(times * idf * 0.1 * tf) AS kw_raw FROM wt JOIN posted p ON p.token = wt.term AND (wt.project_id IS NULL OR p.project_id = wt.project_id) GROUP BY 1, 2),
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(kw_raw, 9) DESC, id) AS kw_rank FROM kraw WHERE kw_raw > 0 QUALIFY kw_rank <= {pool_kw}),
 vraw AS (SELECT query_id, emb.memory_id AS id, {COSINE.format(a='asked.embedding', b='emb.embedding')} AS cosine FROM asked JOIN emb ON emb.project_id = asked.project_id),
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS vec_rank FROM vraw QUALIFY vec_rank <= {pool_vec}),
@@ -287,23 +289,45 @@ sig AS (SELECT s.*, idf_sum, terms, CASE WHEN coalesce(top, 0) <= 0 THEN 0.0 ELS
 cand AS (SELECT query_id, id, kw_raw, cosine, overlap, {relevance} AS relevance FROM sig WHERE kw_rank IS NOT NULL OR in_ent OR cosine IS NULL OR cosine >= 0.15)"""
 
 
-def pools(t):
-    """(terms, weights, postings, keyword, vector, matches, entity) of the asked questions, for five results."""
-    q = t.asked
-    posted_ = t.index
-    terms = retrieve.query_terms(q)
-    weights = stored(retrieve.term_weights(terms, posted_, t.kept), "weights")
-    keyword = retrieve.keyword_pool(terms, weights, posted_, F.lit(50))
-    vector = retrieve.vector_pool(q.select("query_id", "project_id", "embedding"), t.embeddings, 50, DIM)
-    named = q.select("query_id", "project_id", F.explode("entities").alias("normalized_name"))
-    matches = retrieve.entity_matches(named, t.mentions)
-    entity = retrieve.entity_pool(matches, t.kept, F.lit(25))
-    return terms, weights, posted_, keyword, vector, matches, entity
+class Pools:
+    """The stages of the asked questions, for five results; each is built when it is asked for."""
+
+    def __init__(self, t) -> None:
+        self.t, self.asked = t, t.asked
+
+    @property
+    def postings(self):
+        return self.t.index
+
+    @cached_property
+    def terms(self):
+        return retrieve.query_terms(self.asked)
+
+    @cached_property
+    def weights(self):
+        return stored(retrieve.term_weights(self.terms, self.postings, self.t.kept), "weights")
+
+    @cached_property
+    def keyword(self):
+        return retrieve.keyword_pool(self.terms, self.weights, self.postings, F.lit(50))
+
+    @cached_property
+    def vector(self):
+        return retrieve.vector_pool(self.asked.select("query_id", "project_id", "embedding"), self.t.embeddings, 50, DIM)
+
+    @cached_property
+    def matches(self):
+        named = self.asked.select("query_id", "project_id", F.explode("entities").alias("normalized_name"))
+        return retrieve.entity_matches(named, self.t.mentions)
+
+    @cached_property
+    def entity(self):
+        return retrieve.entity_pool(self.matches, self.t.memories, F.lit(25))
 
 
 @query("agg_df", f"WITH {chain()} SELECT query_id, term, df::BIGINT AS df FROM wt")
 def _(t):
-    return pools(t)[1].select("query_id", "term", F.col("df").cast("bigint").alias("df"))
+    return Pools(t).weights.select("query_id", "term", F.col("df").cast("bigint").alias("df"))
 
 
 @query("agg_n", f"WITH {MEM} SELECT project_id, count(*) AS n FROM mem WHERE project_id IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM mem")
@@ -313,18 +337,18 @@ def _(t):
 
 @query("m_idf", f"WITH {chain()} SELECT query_id, term, round(idf, 6)::DOUBLE AS idf FROM wt")
 def _(t):
-    return pools(t)[1].select("query_id", "term", F.round("idf", 6).alias("idf"))
+    return Pools(t).weights.select("query_id", "term", F.round("idf", 6).alias("idf"))
 
 
 @query("agg_idfsum", f"WITH {chain()} SELECT query_id, round(idf_sum, 6)::DOUBLE AS idf_sum, terms::BIGINT AS terms FROM sums")
 def _(t):
-    return retrieve.idf_sums(pools(t)[1]).select("query_id", F.round("idf_sum", 6).alias("idf_sum"), F.col("terms").cast("bigint").alias("terms"))
+    return retrieve.idf_sums(Pools(t).weights).select("query_id", F.round("idf_sum", 6).alias("idf_sum"), F.col("terms").cast("bigint").alias("terms"))
 
 
 @query("agg_rank", f"WITH {chain()} SELECT query_id, id, round(kw_raw, 6)::DOUBLE AS raw FROM kraw")
 def _(t):
-    p = pools(t)
-    return retrieve.keyword_pool(p[0], p[1], p[2], F.lit(2**31 - 1)).select("query_id", "id", F.round("kw_raw", 6).alias("raw"))
+    p = Pools(t)
+    return retrieve.keyword_pool(p.terms, p.weights, p.postings, F.lit(2**31 - 1)).select("query_id", "id", F.round("kw_raw", 6).alias("raw"))
 
 
 @query("fts_rank", f"WITH {MEM}, {posted()} SELECT id, token, round(0.1 * tf, 6)::DOUBLE AS rank FROM posted")
@@ -332,15 +356,19 @@ def _(t):
     return retrieve.postings(t.memories).select("id", "token", F.round(S.RANK_PER_TERM * F.col("tf"), 6).alias("rank"))
 
 
-@query("jn_fts", f"WITH {chain()} SELECT query_id, p.id, term FROM qt JOIN posted p ON p.token = qt.term AND p.project_id = qt.project_id")
+@query("jn_fts", f"WITH {chain()} SELECT query_id, p.id, term FROM qt JOIN posted p ON p.token = qt.term AND (qt.project_id IS NULL OR p.project_id = qt.project_id)")
 def _(t):
-    terms, _, posted_, *_ = pools(t)
-    return posted_.join(terms.select("query_id", "project_id", F.col("term").alias("token")), ["project_id", "token"]).select("query_id", "id", F.col("token").alias("term"))
+    p = Pools(t)
+    terms = p.terms
+    words = terms.select("query_id", "project_id", F.col("term").alias("token"))
+    scoped = p.postings.join(words.where("project_id is not null"), ["project_id", "token"]).select("query_id", "id", F.col("token").alias("term"))
+    free = p.postings.drop("project_id").join(words.where("project_id is null").drop("project_id"), "token").select("query_id", "id", F.col("token").alias("term"))
+    return scoped.unionByName(free)
 
 
 @query("jn_corpus", f"WITH {chain()} SELECT query_id, term, n::BIGINT AS n FROM wt")
 def _(t):
-    return pools(t)[1].select("query_id", "term", F.col("n").cast("bigint").alias("n"))
+    return Pools(t).weights.select("query_id", "term", F.col("n").cast("bigint").alias("n"))
 
 
 KW_SQL = f"WITH {chain()} SELECT query_id, id, round(kw_raw, 6)::DOUBLE AS raw, kw_rank::BIGINT AS rank FROM kw"
@@ -348,7 +376,7 @@ for _name in ("op_keyword", "top_keyword", "win_kwrank"):
 
     @query(_name, KW_SQL)
     def _(t):
-        return pools(t)[3].select("query_id", "id", F.round("kw_raw", 6).alias("raw"), F.col("kw_rank").cast("bigint").alias("rank"))
+        return Pools(t).keyword.select("query_id", "id", F.round("kw_raw", 6).alias("raw"), F.col("kw_rank").cast("bigint").alias("rank"))
 
 
 VEC_SQL = f"WITH {chain()} SELECT query_id, id, round(cosine, 6)::DOUBLE AS cosine, vec_rank::BIGINT AS rank FROM vec"
@@ -356,10 +384,10 @@ for _name in ("op_vector", "top_vector_scoped", "win_vecrank"):
 
     @query(_name, VEC_SQL)
     def _(t):
-        return pools(t)[4].select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("vec_rank").cast("bigint").alias("rank"))
+        return Pools(t).vector.select("query_id", "id", F.round("cosine", 6).alias("cosine"), F.col("vec_rank").cast("bigint").alias("rank"))
 
 
-@query("top_vector_global", f"""WITH {MEM}, {EMB}, {ASKED}, v AS (SELECT query_id, memory_id AS id, {COSINE.format(a='asked.embedding', b='emb.embedding')} AS cosine FROM asked, emb)
+@query("top_vector_global", f"""WITH {MEM}, {EMB}, {ASKED}, v AS (SELECT query_id, memory_id AS id, {COSINE.format(a='asked.embedding', b='emb.embedding')} AS cosine FROM asked, emb WHERE asked.embedding IS NOT NULL)
 SELECT query_id, id, round(cosine, 6)::DOUBLE AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM v QUALIFY rank <= 50""")
 def _(t):
     free = t.asked.select("query_id", F.lit(None).cast("string").alias("project_id"), "embedding")
@@ -368,12 +396,12 @@ def _(t):
 
 @query("jn_hydrate_kw", f"WITH {chain()} SELECT kw.query_id, kw.kw_rank::BIGINT AS rank, mem.id, mem.content, mem.type FROM kw JOIN mem ON mem.id = kw.id")
 def _(t):
-    return pools(t)[3].join(t.memories.select("id", "content", "type"), "id").select("query_id", F.col("kw_rank").cast("bigint").alias("rank"), "id", "content", "type")
+    return Pools(t).keyword.join(t.memories.select("id", "content", "type"), "id").select("query_id", F.col("kw_rank").cast("bigint").alias("rank"), "id", "content", "type")
 
 
 @query("jn_hydrate_vec", f"WITH {chain()} SELECT vec.query_id, vec.vec_rank::BIGINT AS rank, mem.id, mem.content, mem.type FROM vec JOIN mem ON mem.id = vec.id")
 def _(t):
-    return pools(t)[4].join(t.memories.select("id", "content", "type"), "id").select("query_id", F.col("vec_rank").cast("bigint").alias("rank"), "id", "content", "type")
+    return Pools(t).vector.join(t.memories.select("id", "content", "type"), "id").select("query_id", F.col("vec_rank").cast("bigint").alias("rank"), "id", "content", "type")
 
 
 OVER_SQL = f"WITH {chain()} SELECT query_id, id, round(overlap, 6)::DOUBLE AS overlap FROM over_"
@@ -381,7 +409,7 @@ for _name in ("jn_mentions_count", "agg_entity_overlap", "set_entity_overlap"):
 
     @query(_name, OVER_SQL)
     def _(t):
-        return pools(t)[5].select("query_id", "id", F.round("overlap", 6).alias("overlap"))
+        return Pools(t).matches.select("query_id", "id", F.round("overlap", 6).alias("overlap"))
 
 
 ENT_SQL = f"WITH {chain()} SELECT query_id, id FROM ent"
@@ -389,7 +417,7 @@ for _name in ("op_entity", "jn_mentions_find", "top_entity"):
 
     @query(_name, ENT_SQL)
     def _(t):
-        return pools(t)[6]
+        return Pools(t).entity
 
 
 @query("jn_mentions_list", f"WITH {MEN} SELECT memory_id, string_agg(normalized_name, ',' ORDER BY normalized_name) AS names FROM men GROUP BY 1")
@@ -400,8 +428,8 @@ def _(t):
 def candidates(t, fusion="minmax"):
     from loci.config import EngineConfig
 
-    _, weights, _, keyword, vector, matches, entity = pools(t)
-    return retrieve.merged(keyword, vector, entity, matches, retrieve.idf_sums(weights), EngineConfig(dim=DIM, fusion=fusion))
+    p = Pools(t)
+    return retrieve.merged(p.keyword, p.vector, p.entity, p.matches, retrieve.idf_sums(p.weights), EngineConfig(dim=DIM, fusion=fusion))
 
 
 for _name, _fusion in (("op_merge", "minmax"), ("jn_merge3", "minmax"), ("fuse_linear", "linear"), ("win_rrf", "rrf")):
@@ -413,7 +441,8 @@ for _name, _fusion in (("op_merge", "minmax"), ("jn_merge3", "minmax"), ("fuse_l
 
 @query("agg_minmax", f"WITH {chain()} SELECT query_id, round(max(top), 6)::DOUBLE AS top, round(min(lo), 6)::DOUBLE AS low, round(max(hi), 6)::DOUBLE AS high FROM scaled GROUP BY 1")
 def _(t):
-    _, _, _, keyword, vector, _, entity = pools(t)
+    p = Pools(t)
+    keyword, vector, entity = p.keyword, p.vector, p.entity
     ids = keyword.select("query_id").unionAll(vector.select("query_id")).unionAll(entity.select("query_id")).distinct()
     a = keyword.groupBy("query_id").agg(F.round(F.max("kw_raw"), 6).alias("top"))
     b = vector.groupBy("query_id").agg(F.round(F.min("cosine"), 6).alias("low"), F.round(F.max("cosine"), 6).alias("high"))
@@ -422,7 +451,8 @@ def _(t):
 
 @query("set_dedup_ids", f"WITH {chain()} SELECT query_id, id FROM ids")
 def _(t):
-    _, _, _, keyword, vector, _, entity = pools(t)
+    p = Pools(t)
+    keyword, vector, entity = p.keyword, p.vector, p.entity
     return keyword.select("query_id", "id").unionAll(vector.select("query_id", "id")).unionAll(entity).distinct()
 
 
@@ -501,19 +531,34 @@ def _(t):
 # --- writes ------------------------------------------------------------------------------------------
 
 
-@query("jn_contradict")
+#: Semantic memories against the newest 50 semantic ones of their project.
+CONTRADICTED = f"""sem AS (SELECT id, project_id, created_at, {sql_features('content', 'tags')} AS f FROM mem WHERE type = 'semantic' AND content IS NOT NULL AND project_id IS NOT NULL),
+last50 AS (SELECT * FROM sem QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) <= 50),
+con AS (SELECT a.id AS new_id, b.id AS old_id, {sql_contradiction('a.f', 'b.f')} AS c FROM sem a JOIN last50 b ON b.project_id = a.project_id AND b.id <> a.id)"""
+
+
+@query("jn_contradict", f"WITH {MEM}, {CONTRADICTED} SELECT new_id, old_id, c.reason AS reason, c.confidence AS confidence FROM con WHERE c.confidence >= 0.5")
 def _(t):
     return ingest.contradictions(t.memories, t.memories).select("new_id", "old_id", "reason", "confidence")
 
 
-@query("op_supersede")
+@query(
+    "op_supersede",
+    f"""WITH {MEM}, {CONTRADICTED} SELECT new_id AS from_id, old_id AS to_id, 'supersedes' AS relationship, c.confidence AS weight FROM con WHERE c.confidence >= 0.5
+QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY c.confidence DESC, old_id) <= 5""",
+)
 def _(t):
     return ingest.supersessions(ingest.contradictions(t.memories, t.memories))
 
 
-@query("flt_min_conf")
+@query("flt_min_conf", f"WITH {MEM}, {CONTRADICTED} SELECT (c IS NOT NULL AND c.confidence >= 0.5) AS kept, count(*) AS n FROM con GROUP BY 1")
 def _(t):
-    return ingest.contradictions(t.memories, t.memories).where(F.col("confidence") >= 0.8).select("new_id", "old_id")
+    """How many of the compared pairs reach the least confidence of 0.5."""
+    found = ingest.contradictions(t.memories, t.memories).select("new_id", "old_id", F.lit(True).alias("kept"))
+    new = t.memories.where("type = 'semantic' and content is not null and project_id is not null").select(F.col("id").alias("new_id"), "project_id")
+    old = ingest.newest(t.memories.where("type = 'semantic' and content is not null"), ingest.SUPERSEDE_CANDIDATES).select(F.col("id").alias("old_id"), "project_id")
+    every = new.join(old, "project_id").where("new_id <> old_id").join(found, ["new_id", "old_id"], "left")
+    return every.groupBy(F.coalesce("kept", F.lit(False)).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("top_super", f"WITH {EDG} SELECT from_id, to_id FROM edg WHERE relationship = 'supersedes' QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to_id) <= 5")

@@ -106,7 +106,7 @@ def _(t):
     return t.memories.where("content is not null").where(X.is_noise(F.col("content"))).select("id")
 
 
-_TOPIC = f"list_filter({sql_tokens('content')}, lambda w: w IN ({quoted(L.TOPICS)}))"
+_TOPIC = rf"""list_filter(list_transform(regexp_split_to_array(lower(content), '\s+'), lambda w: trim(w, '.,;:!?"''()[]{{}}/-')), lambda w: w IN ({quoted(L.TOPICS)}))"""
 
 
 @query(
@@ -191,7 +191,47 @@ def _(t):
     return t.memories.where("content is not null").select("id", F.md5(X.without_negation(F.col("content"))).alias("digest"))
 
 
-@query("txt_triples")
+def sql_features(content: str, tags: str) -> str:
+    """What the contradiction rules need of one memory, as a struct."""
+    words = lambda part: rf"""list_filter(list_transform(regexp_split_to_array(trim({part}), '\s+'), lambda w: trim(w, '.,;:!?"''()-')), lambda w: strlen(w) > 1)"""
+    low = f"(' ' || lower({content}) || ' ')"
+    before = f"list_filter({words(f'{low}[1:at - 1]')}, lambda w: w NOT IN ('the', 'a', 'an', 'our', 'my', 'this', 'we', 'i'))"
+    after = words(f"{low}[at + length(verb) + 2:]")
+    verbs = quoted(L.VERBS)
+    one = before.replace("at - 1", f"position(' ' || v || ' ' IN {low}) - 1")
+    two = after.replace("at + length(verb)", f"position(' ' || v || ' ' IN {low}) + length(v)")
+    made = f"{{'verb': v, 'at': position(' ' || v || ' ' IN {low}), 'before': {one}, 'after': {two}}}"
+    kept = f"list_filter(list_transform([{verbs}], lambda v: {made}), lambda t: t['at'] > 0 AND len(t['before']) > 0 AND len(t['after']) > 0)"
+    triples = f"list_transform({kept}, lambda t: {{'verb': t['verb'], 'subject': array_to_string(t['before'][greatest(len(t['before']) - 2, 1):], ' '), 'object': t['after'][1:3]}})"
+    negated = " OR ".join(f"contains(lower({content}), '{m.replace(chr(39), chr(39) * 2)}')" for m in L.NEGATION_MARKS)
+    signals = f"list_filter([{quoted(L.REPLACEMENT_MARKS)}], lambda m: contains(lower({content}), m))"
+    plain = SIG.format(f"array_to_string(list_filter(regexp_split_to_array(lower({content}), '\\s+'), lambda w: w NOT IN ({quoted(L.NEGATION_WORDS)})), ' ')")
+    return (
+        f"{{'words': list_distinct({SIG.format(content)}), 'plain': list_distinct({plain}), 'triples': {triples}, 'denied': ({negated}), 'signal': {signals}[1], "
+        f"'tags': list_transform({tags}, lambda x: lower(x))}}"
+    )
+
+
+def sql_contradiction(a: str, b: str) -> str:
+    """Struct (reason, confidence) of the first rule between two feature structs, or null."""
+    jac = lambda k: f"(CASE WHEN len(list_distinct(list_concat({a}.{k}, {b}.{k}))) = 0 THEN 0 ELSE len(list_intersect({a}.{k}, {b}.{k})) / len(list_distinct(list_concat({a}.{k}, {b}.{k}))) END)"
+    ratio = f"(CASE WHEN least(len({a}.tags), len({b}.tags)) = 0 THEN 0 ELSE len(list_filter({b}.tags, lambda y: list_contains({a}.tags, y))) / least(len({a}.tags), len({b}.tags)) END)"
+    refine = "x['object'][1:least(len(x['object']), len(y['object']))] = y['object'][1:least(len(x['object']), len(y['object']))]"
+    clash = (
+        f"flatten(list_transform({a}.triples, lambda x: list_transform(list_filter({b}.triples, lambda y: x['verb'] = y['verb'] AND x['subject'] = y['subject'] AND x['object'] <> y['object'] AND NOT ({refine})), "
+        "lambda y: x['subject'] || ' ' || x['verb'] || ': ' || array_to_string(x['object'], ' ') || ' vs ' || array_to_string(y['object'], ' '))))[1]"
+    )
+    return f"""CASE WHEN {a}.signal IS NOT NULL AND ({jac('words')} >= 0.15 OR {ratio} >= 0.3) THEN {{'reason': 'replacement signal: ' || {a}.signal, 'confidence': 0.9::DOUBLE}}
+    WHEN {clash} IS NOT NULL THEN {{'reason': {clash}, 'confidence': 0.85::DOUBLE}}
+    WHEN {jac('plain')} >= 0.4 AND {a}.denied <> {b}.denied THEN {{'reason': 'negation conflict with high similarity', 'confidence': 0.8::DOUBLE}}
+    WHEN len({a}.tags) > 0 AND len({b}.tags) > 0 AND {ratio} >= 0.5 AND {jac('plain')} >= 0.3 AND {jac('plain')} < 0.8 THEN {{'reason': 'shared tags with divergent content', 'confidence': 0.5::DOUBLE}} END"""
+
+
+@query(
+    "txt_triples",
+    f"""WITH {MEM}, f AS (SELECT id, unnest(({sql_features('content', 'tags')}).triples) AS r FROM mem WHERE content IS NOT NULL)
+SELECT id, r.verb AS verb, r.subject AS subject, array_to_string(r.object, ' ') AS object FROM f""",
+)
 def _(t):
     return t.memories.where("content is not null").select("id", F.explode(X.triples(F.col("content"))).alias("r")).select("id", "r.verb", "r.subject", F.array_join("r.object", " ").alias("object"))
 
@@ -202,7 +242,13 @@ def _(t):
     return pairs(t).select("new_id", "old_id", X.refines(X.content_tokens(F.col("new")), X.content_tokens(F.col("old"))).alias("refines"))
 
 
-@query("txt_contradict")
+@query(
+    "txt_contradict",
+    f"""WITH {MEM}, {EDG}, feats AS (SELECT id, {sql_features('content', 'tags')} AS f FROM mem WHERE content IS NOT NULL),
+ends AS (SELECT DISTINCT from_id AS new_id, to_id AS old_id FROM edg WHERE from_id <> to_id),
+c AS (SELECT new_id, old_id, {sql_contradiction('a.f', 'b.f')} AS c FROM ends JOIN feats a ON a.id = new_id JOIN feats b ON b.id = old_id)
+SELECT new_id, old_id, c.reason AS reason, c.confidence AS confidence FROM c WHERE c IS NOT NULL""",
+)
 def _(t):
     features = X.contradiction_features
     both = pairs(t).select("new_id", "old_id", features(F.col("new"), F.col("new_tags")).alias("a"), features(F.col("old"), F.col("old_tags")).alias("b"))

@@ -43,6 +43,8 @@ def build_session(app: str = "loci", cores: str = "*", shuffle_partitions: int =
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call sites of every Column cost two more round trips each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     return ship(spark)
