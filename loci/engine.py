@@ -12,7 +12,10 @@ from loci.functions import lists as L
 from loci.functions import text as X
 from loci.operators import embed, evaluate, extract, graph, ingest, maintain, memories, profile, retrieve
 from loci.runtime import stored
-from loci.sources.store import Store
+from loci.sources.store import KEYS, PLACE, Conflict, Snapshot, Store
+
+#: Times a write starts again because another writer committed first.
+WRITE_ATTEMPTS = 5
 
 
 class Engine:
@@ -58,21 +61,36 @@ class Engine:
         )
         return stored(rows, "new")
 
+    def _committed(self, work):
+        """Run ``work(snapshot)``, which commits on the snapshot, until no other writer was faster."""
+        for left in reversed(range(WRITE_ATTEMPTS)):
+            try:
+                return work(self.tables.snapshot())
+            except Conflict:
+                if not left:
+                    raise
+
     def _ingest(self, rows: DataFrame, fold: bool) -> DataFrame:
-        t = self.tables.tables()
         vectors = self._vectors(rows.select("id", F.col("content").alias("text")))
         with_vector = stored(rows.join(vectors, "id", "left"), "with_vector")
-        out = ingest.store(with_vector.drop("session_id"), t["memories"], t["embeddings"], t["edges"], self.config.dim, self.now, fold)
-        kept = stored(rows.join(out["folded"].select(F.col("new_id").alias("id")), "id", "left_anti"), "rows")
-        named = stored(extract.memory_entities(kept).join(kept.select("id", "project_id"), "id"), "named")
-        entities, mentions = graph.link_entities(named, t["entities"], t["mentions"], self.now)
-        links = kept.where("session_id is not null").select(
-            F.sha1(F.concat_ws("|", "session_id", "id")).alias("id"), F.col("session_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("relationship"),
-            F.lit(1.0).alias("weight"), self.now.alias("created_at"),
-        )
-        edges = out["edges"].unionByName(links.select(*out["edges"].columns))
-        fixed = self.tables.write_all({"memories": out["memories"], "embeddings": out["embeddings"], "edges": edges, "entities": entities, "mentions": mentions})
-        return fixed["memories"].join(rows.select("id"), "id", "left_semi")
+        places = self.tables.buckets(rows)
+
+        def work(at: Snapshot) -> None:
+            # Only the buckets of the batch's projects are read, and only changed rows are written.
+            t = self.tables.tables(at, places)
+            out = ingest.changes(with_vector.drop("session_id"), t["memories"], t["embeddings"], self.config.dim, self.now, fold)
+            kept = stored(rows.join(out["folded"].select(F.col("new_id").alias("id")), "id", "left_anti"), "rows")
+            named = stored(extract.memory_entities(kept).join(kept.select("id", "project_id"), "id"), "named")
+            entities, mentions = graph.new_links(named, t["entities"], t["mentions"], self.now)
+            links = kept.where("session_id is not null").select(
+                F.sha1(F.concat_ws("|", "session_id", "id")).alias("id"), F.col("session_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("relationship"),
+                F.lit(1.0).alias("weight"), self.now.alias("created_at"),
+            )
+            edges = out["edges"].select(*links.columns).unionByName(links)
+            self.tables.change(at, {"memories": out["memories"], "embeddings": out["embeddings"], "edges": edges, "entities": entities, "mentions": mentions})
+
+        self._committed(work)
+        return self.tables.read("memories", buckets=places).join(rows.select("id"), "id", "left_semi")
 
     def extract(self, conversations: DataFrame, project_id: str) -> DataFrame:
         """Memories out of ``conversations(conversation_id, text)``: rules, folding within each, then as ``store`` with folding into what is there."""
@@ -100,22 +118,35 @@ class Engine:
 
     def record_access(self, results: DataFrame) -> None:
         """Count one read of every different memory in ``results``."""
-        self.tables.append("access_log", results.select(F.col("id").alias("memory_id"), self.now.alias("at")).distinct())
+        reads = results.select(F.col("id").alias("memory_id"), self.now.alias("at")).distinct()
+        self._committed(lambda at: self.tables.change(at, {"access_log": reads}))
 
     def connect(self, new: DataFrame) -> DataFrame:
         """Add edges ``(from_id, to_id, relationship, weight)``; returns the effective ones, which may be older."""
         for r in new.select("relationship").distinct().limit(len(L.RELATIONSHIPS) + 1).collect():
             graph.check_relationship(r[0])
-        t = self.tables.tables()
-        rows = new.withColumns({"id": F.sha1(F.concat_ws("|", "from_id", "to_id", "relationship")), "created_at": self.now}).select(*t["edges"].columns)
-        after, effective = graph.connect(rows, t["edges"], t["memories"])
-        effective = stored(effective, "effective")
-        self.tables.write("edges", after)
-        return effective
+        keys = KEYS["edges"]
+
+        def work(at: Snapshot) -> DataFrame:
+            t = self.tables.tables(at)
+            rows = new.withColumns({"id": F.sha1(F.concat_ws("|", "from_id", "to_id", "relationship")), "created_at": self.now}).select(*t["edges"].columns)
+            effective = stored(graph.connect(rows, t["edges"], t["memories"])[1], "effective")
+            self.tables.change(at, {"edges": effective.join(t["edges"].select(*keys), keys, "left_anti").select(*t["edges"].columns)})
+            return effective
+
+        return self._committed(work)
 
     def delete(self, ids: DataFrame) -> None:
-        after = graph.delete(ids, self.tables.tables())
-        self.tables.write_all({name: after[name] for name in ("memories", "embeddings", "edges", "mentions", "entities")})
+        """Remove memories and what hangs on them: only the keys that go are written."""
+        names = ("memories", "embeddings", "edges", "mentions", "entities")
+
+        def work(at: Snapshot) -> None:
+            places = self.tables.buckets(self.tables.read("memories", at).join(ids.select("id").distinct(), "id", "left_semi"))
+            t = self.tables.tables(at, places)
+            after = graph.delete(ids, t)
+            self.tables.change(at, {}, {n: t[n].select(*{*KEYS[n], PLACE[n]}).join(after[n].select(*KEYS[n]), KEYS[n], "left_anti") for n in names})
+
+        self._committed(work)
 
     def graph(self, ident: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
         t = self.tables.tables()
@@ -127,25 +158,30 @@ class Engine:
 
     def start_session(self, agent_id: str, project_id: str, ident: str) -> None:
         new = self.spark.createDataFrame([(ident, project_id, agent_id)], "id string, project_id string, agent_id string").withColumn("started_at", self.now)
-        self.tables.write("sessions", profile.start_sessions(new, self.tables.read("sessions")))
+        self._committed(lambda at: self.tables.change(at, {"sessions": profile.start_sessions(new, self.tables.read("sessions", at)).join(new.select("id"), "id", "left_semi")}))
 
     def end_session(self, ident: str) -> None:
         ends = self.spark.createDataFrame([(ident,)], "id string").withColumn("ended_at", self.now)
-        self.tables.write("sessions", profile.end_sessions(ends, self.tables.read("sessions")))
+        self._committed(lambda at: self.tables.change(at, {"sessions": profile.end_sessions(ends, self.tables.read("sessions", at)).join(ends.select("id"), "id", "left_semi")}))
 
     def stats(self) -> DataFrame:
         t = self.tables.tables()
         return graph.counts(t["memories"], t["entities"], t["edges"], t["mentions"])
 
     def consolidate(self) -> DataFrame:
-        """Merge, decay, prune; returns the report ``(phase, n)``."""
-        t = self.tables.tables()
-        t["memories"] = stored(graph.with_access(t["memories"], t["access_log"]), "counted")
-        report = stored(maintain.consolidation_report(t, self.now, self.config), "report")
-        after = maintain.consolidate(t, self.now, self.config)
-        # The reads are in the counts now.
-        self.tables.write_all({name: after[name] for name in ("memories", "embeddings", "edges", "mentions", "entities")} | {"access_log": t["access_log"].limit(0)})
-        return report
+        """Merge, decay, prune; folds all deltas into new bases; returns the report ``(phase, n)``."""
+
+        def work(at: Snapshot) -> DataFrame:
+            t = self.tables.tables(at)
+            t["memories"] = stored(graph.with_access(t["memories"], t["access_log"]), "counted")
+            report = stored(maintain.consolidation_report(t, self.now, self.config), "report")
+            after = maintain.consolidate(t, self.now, self.config)
+            # The reads are in the counts now.
+            names = ("memories", "embeddings", "edges", "mentions", "entities")
+            self.tables.replace(at, {name: after[name] for name in names} | {"access_log": t["access_log"].limit(0), "sessions": t["sessions"]})
+            return report
+
+        return self._committed(work)
 
     def evaluate(self, questions: DataFrame, sources: DataFrame, evidence: DataFrame, k: int = 30) -> DataFrame:
         """Metrics of ``questions(question_id, category, question, project_id)`` in one job."""

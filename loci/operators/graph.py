@@ -115,7 +115,13 @@ def delete(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]
 
 
 def link_entities(named: DataFrame, entities: DataFrame, mentions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(entities, mentions) after linking ``named(id, project_id, entities)``.
+    """(entities, mentions) after linking ``named(id, project_id, entities)``, as of ``new_links``."""
+    new, links = new_links(named, entities, mentions, now)
+    return entities.unionByName(new), mentions.unionByName(links)
+
+
+def new_links(named: DataFrame, entities: DataFrame, mentions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The (entities, mentions) that ``named(id, project_id, entities)`` adds.
 
     Names are deduplicated by normalised name within a project; existing entities and mentions stay
     as they are. Rows without project are left out.
@@ -123,12 +129,12 @@ def link_entities(named: DataFrame, entities: DataFrame, mentions: DataFrame, no
     rows = named.where(F.coalesce("project_id", F.lit("")) != "").select("id", "project_id", F.posexplode("entities").alias("pos", "name"))
     rows = rows.withColumn("normalized_name", X.normalize_entity(F.col("name"))).where("normalized_name <> ''")
     links = rows.select(F.col("id").alias("memory_id"), "normalized_name", "project_id").distinct()
-    new_links = links.join(mentions, ["memory_id", "normalized_name", "project_id"], "left_anti").withColumns({"weight": F.lit(1.0), "created_at": now})
+    added = links.join(mentions, ["memory_id", "normalized_name", "project_id"], "left_anti").withColumns({"weight": F.lit(1.0), "created_at": now})
     first = rows.groupBy("normalized_name", "project_id").agg(F.min(F.struct("id", "pos", "name")).alias("f"))
     new = first.join(entities, ["normalized_name", "project_id"], "left_anti")
     made = F.sha2(F.concat_ws("|", "project_id", "normalized_name"), 256)
     new = new.select(F.substring(made, 1, 32).alias("id"), F.col("f.name").alias("name"), "normalized_name", "project_id")
-    return entities.unionByName(new.select(*entities.columns)), mentions.unionByName(new_links.select(*mentions.columns))
+    return new.select(*entities.columns), added.select(*mentions.columns)
 
 
 def upsert_embeddings(new: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:

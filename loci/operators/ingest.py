@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loci.functions import text as X
-from loci.functions import vector as V
+from loci.operators.retrieve import vector_pool
 from loci.runtime import stored
 
 # Fixed values.
@@ -44,13 +44,16 @@ def supersessions(found: DataFrame, most: int = MOST_SUPERSEDES) -> DataFrame:
 
 
 def vector_neighbours(new: DataFrame, embeddings: DataFrame, dim: int, most: int = LINK_CANDIDATES) -> DataFrame:
-    """``(new_id, other_id, similarity)``: the ``most`` nearest vectors of the project, itself left out."""
-    known = embeddings.where(V.is_usable(F.col("embedding"), dim)).select(F.col("memory_id").alias("other_id"), "project_id", F.col("embedding").alias("b"))
-    asked = new.select(F.col("id").alias("new_id"), "project_id").join(known.select(F.col("other_id").alias("new_id"), F.col("b").alias("a")), "new_id")
-    pairs = asked.join(known, "project_id").where("new_id <> other_id")
-    rows = pairs.select("new_id", "other_id", V.cosine(F.col("a"), F.col("b")).alias("similarity")).where("similarity is not null")
-    rank = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc(F.round("similarity", 9)), "other_id"))
-    return rows.withColumn("n", rank).where(F.col("n") <= most).drop("n")
+    """``(new_id, other_id, similarity)``: the ``most`` nearest vectors of the project, itself left out.
+
+    The new rows are a stated query set: their vectors meet the stored ones in blocks, by matrix
+    products, and the stored ones do not move. A row without project has no neighbours.
+    """
+    known = embeddings.select("memory_id", "project_id", "embedding")
+    asked = new.where("project_id is not null").select(F.col("id").alias("query_id")).join(known.select(F.col("memory_id").alias("query_id"), "project_id", "embedding"), "query_id")
+    near = vector_pool(asked.where("project_id is not null"), known, most + 1, dim).where("query_id <> id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id"))
+    return near.withColumn("n", rank).where(F.col("n") <= most).select(F.col("query_id").alias("new_id"), F.col("id").alias("other_id"), F.col("cosine").alias("similarity"))
 
 
 def autolinks(new: DataFrame, memories: DataFrame, near: DataFrame, superseded: DataFrame | None = None, most: int = MOST_LINKS) -> DataFrame:
@@ -90,40 +93,57 @@ def folds(new: DataFrame, memories: DataFrame, near: DataFrame) -> DataFrame:
     return judged.withColumn("n", rank).where("n = 1").select("new_id", "old_id", "verdict")
 
 
-def store(new: DataFrame, memories: DataFrame, embeddings: DataFrame, edges: DataFrame, dim: int, now: Column, fold: bool = True) -> dict[str, DataFrame]:
-    """The tables after a batch of new memories: ``memories``, ``edges``, and ``folded`` (new_id, old_id, verdict).
+def changes(new: DataFrame, memories: DataFrame, embeddings: DataFrame, dim: int, now: Column, fold: bool = True) -> dict[str, DataFrame]:
+    """What a batch of new memories changes: ``memories`` (added and updated rows), ``embeddings`` and ``edges`` (added), ``folded`` (new_id, old_id, verdict).
 
     ``new`` has the columns of memories and an ``embedding``. Set mode: every new row is judged
     against the stored rows of its project, not against other rows of the batch (fold a batch with
-    ``extract.fold_redundant`` first). Exact restatements and folded rows add no memory but an access.
+    ``extract.fold_redundant`` first). Exact restatements and folded rows add no memory but an
+    access. ``memories`` and ``embeddings`` need hold no more than the projects of the batch.
     """
-    from loci.operators.graph import add_edges
+    from loci.operators.graph import clean_edges
     from loci.operators.memories import duplicates_by_hash
 
     # What has the size of the batch is written once; the tables themselves are only read.
     judged = stored(duplicates_by_hash(new, memories), "judged")
     again = judged.where("existing_id is not null").select(F.col("id").alias("new_id"), F.col("existing_id").alias("old_id"), F.lit("equivalent").alias("verdict"))
     fresh = judged.where("existing_id is null").drop("existing_id")
-    vectors = embeddings.unionByName(fresh.select(F.col("id").alias("memory_id"), "project_id", "embedding", now.alias("created_at")).select(*embeddings.columns))
+    own = fresh.where("embedding is not null").select(F.col("id").alias("memory_id"), "project_id", "embedding", now.alias("created_at")).select(*embeddings.columns)
+    vectors = embeddings.unionByName(own)
     if fold:
-        known = fresh.select("id", "project_id")
-        near_old = vector_neighbours(known, vectors, dim).join(memories.select(F.col("id").alias("other_id")), "other_id", "left_semi")
+        near_old = vector_neighbours(fresh.select("id", "project_id"), vectors, dim).join(memories.select(F.col("id").alias("other_id")), "other_id", "left_semi")
         again = again.unionByName(folds(fresh, memories, near_old))
     again = stored(again, "again")
     kept = stored(fresh.join(again.select(F.col("new_id").alias("id")), "id", "left_anti"), "kept")
     upgraded = again.where("verdict = 'new_subsumes_old'").join(new.select(F.col("id").alias("new_id"), "content"), "new_id").groupBy(F.col("old_id").alias("id")).agg(F.min("content").alias("__better"))
     reads = again.groupBy(F.col("old_id").alias("id")).agg(F.count(F.lit(1)).alias("__reads"))
-    old = memories.join(upgraded, "id", "left").join(reads, "id", "left")
-    old = old.withColumns(
+    touched = memories.join(reads, "id").join(upgraded, "id", "left")
+    touched = touched.withColumns(
         {
             "content_hash": F.when(F.col("__better").isNotNull(), X.content_hash(F.col("__better"))).otherwise(F.col("content_hash")),
             "content": F.coalesce("__better", "content"),
-            "access_count": F.coalesce("access_count", F.lit(0)) + F.coalesce("__reads", F.lit(0)),
+            "access_count": F.coalesce("access_count", F.lit(0)) + F.col("__reads"),
         }
     ).select(*memories.columns)
-    after = old.unionByName(kept.select(*memories.columns))
+    touched = stored(touched, "touched")
+    changed = touched.unionByName(kept.select(*memories.columns))
+    after = memories.join(touched.select("id"), "id", "left_anti").select(*memories.columns).unionByName(changed)
     supers = stored(supersessions(contradictions(kept, after)), "supers")
     near = stored(vector_neighbours(kept.select("id", "project_id"), vectors, dim), "near")
+    near = near.join(after.select(F.col("id").alias("other_id")), "other_id", "left_semi")
     links = autolinks(kept, after, near, supers)
-    made = stored(supers.unionByName(links).withColumns({"id": F.sha1(F.concat_ws("|", "from_id", "to_id", "relationship")), "created_at": now}), "made")
-    return {"memories": after, "edges": add_edges(made.select(*edges.columns), edges, after), "folded": again, "embeddings": vectors.join(kept.select(F.col("id").alias("memory_id")).unionAll(memories.select("id")), "memory_id", "left_semi").select(*embeddings.columns)}
+    made = supers.unionByName(links).withColumns({"id": F.sha1(F.concat_ws("|", "from_id", "to_id", "relationship")), "created_at": now})
+    ids = kept.select(F.col("id").alias("memory_id"))
+    return {"memories": changed, "edges": stored(clean_edges(made), "made"), "folded": again, "embeddings": own.join(ids, "memory_id", "left_semi").select(*embeddings.columns)}
+
+
+def store(new: DataFrame, memories: DataFrame, embeddings: DataFrame, edges: DataFrame, dim: int, now: Column, fold: bool = True) -> dict[str, DataFrame]:
+    """The tables after a batch: ``memories``, ``edges``, ``embeddings``, and ``folded``, as of ``changes``."""
+    from loci.operators.graph import add_edges
+
+    made = changes(new, memories, embeddings, dim, now, fold)
+    after = memories.join(made["memories"].select("id"), "id", "left_anti").select(*memories.columns).unionByName(made["memories"])
+    return {
+        "memories": after, "edges": add_edges(made["edges"].select(*edges.columns), edges, after), "folded": made["folded"],
+        "embeddings": embeddings.unionByName(made["embeddings"]),
+    }
