@@ -12,7 +12,7 @@ from loci.functions import scoring as S
 from loci.functions import text as X
 from loci.operators import evaluate, extract, graph, ingest, maintain, memories, profile, retrieve
 from loci.plans.base import ASKED, COSINE, DIM, EDG, EMB, MEM, MEN, SQL_NOW, posted, query, sql_keywords, sql_tokens
-from loci.plans.texts import DECAY, HOURS, final_sql, sig, sql_contradiction, sql_features
+from loci.plans.texts import DECAY, HOURS, VERDICT, final_sql, sig, sql_contradiction, sql_features
 from loci.runtime import stored
 from loci.sources import conversations
 
@@ -588,13 +588,14 @@ def _(t):
     return pairs.where(F.arrays_overlap(low(F.col("tags")), low(F.col("theirs")))).groupBy("new_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def newest_per_project(t):
-    """The newest memory of each project with a vector stands for a new one."""
-    known = t.memories.where("project_id is not null and content is not null").join(t.embeddings.select(F.col("memory_id").alias("id")), "id", "left_semi")
-    return known.groupBy("project_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id")).join(t.memories.drop("project_id"), "id")
+def asked_again(t):
+    """The query set of the write path: memories with text, project and vector whose id, read as a number, is divisible by 100."""
+    known = t.kept.where("project_id is not null and content is not null and type is not null").where(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 100 == 0)
+    return known.join(t.embeddings.select(F.col("memory_id").alias("id"), "embedding"), "id")
 
 
-FRESH = """fresh AS (SELECT project_id, arg_max(id, (created_at, id)) AS id FROM mem WHERE project_id IS NOT NULL AND content IS NOT NULL AND id IN (SELECT memory_id FROM emb) GROUP BY 1)"""
+FRESH = """fresh AS (SELECT mem.*, emb.embedding FROM mem JOIN emb ON emb.memory_id = mem.id
+  WHERE mem.project_id IS NOT NULL AND content IS NOT NULL AND type IS NOT NULL AND ('0x' || id[1:8])::BIGINT % 100 = 0)"""
 NEAR = f"""near AS (SELECT f.id AS new_id, e.memory_id AS other_id, {COSINE.format(a='a.embedding', b='e.embedding')} AS similarity FROM fresh f JOIN emb a ON a.memory_id = f.id JOIN emb e ON e.project_id = f.project_id AND e.memory_id <> f.id
   QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY round(similarity, 9) DESC, e.memory_id) <= 10)"""
 FLOOR = "fl AS (SELECT new_id, CASE WHEN count(*) >= 3 THEN avg(similarity) + stddev_pop(similarity) ELSE avg(similarity) END AS floor FROM near GROUP BY 1)"
@@ -602,7 +603,7 @@ FLOOR = "fl AS (SELECT new_id, CASE WHEN count(*) >= 3 THEN avg(similarity) + st
 
 @query("agg_stats_floor", f"WITH {MEM}, {EMB}, {FRESH}, {NEAR}, {FLOOR} SELECT new_id, round(floor, 6)::DOUBLE AS floor FROM fl")
 def _(t):
-    near = ingest.vector_neighbours(newest_per_project(t), t.embeddings, DIM)
+    near = ingest.vector_neighbours(asked_again(t), t.embeddings, DIM)
     s = near.groupBy("new_id").agg(F.avg("similarity").alias("m"), F.stddev_pop("similarity").alias("d"), F.count(F.lit(1)).alias("n"))
     return s.select("new_id", F.round(F.when(F.col("n") >= 3, F.col("m") + F.col("d")).otherwise(F.col("m")), 6).alias("floor"))
 
@@ -615,23 +616,54 @@ for _name in ("op_autolink", "top_relates"):
     UNION ALL SELECT near.new_id, other_id, similarity FROM near JOIN fl ON fl.new_id = near.new_id WHERE round(similarity, 9) >= round(floor, 9)) GROUP BY 1, 2)
 SELECT new_id AS from_id, other_id AS to_id, round(weight, 6)::DOUBLE AS weight FROM both_links QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY round(weight, 9) DESC, other_id) <= 5""")
     def _(t):
-        new = newest_per_project(t)
+        new = asked_again(t)
         near = ingest.vector_neighbours(new, t.embeddings, DIM)
         return ingest.autolinks(new, t.memories, near).select("from_id", "to_id", F.round("weight", 6).alias("weight"))
 
 
-@query("jn_fold")
+def offered(t):
+    """The query set as new rows: told again, with more, with less, and denied, by turns."""
+    turn = F.conv(F.substring("id", 10, 2), 16, 10).cast("bigint") % 4
+    less = F.regexp_replace("content", r"\s+\S+\s*\z", "")
+    content = F.when(turn == 0, F.col("content")).when(turn == 1, F.concat("content", F.lit(" as agreed"))).when(turn == 2, less).otherwise(F.concat(F.lit("We no longer keep this: "), "content"))
+    return asked_again(t).withColumns({"content": content, "id": F.concat(F.lit("new-"), "id")})
+
+
+TOKENS = sql_tokens("content")
+OFFERED = rf"""off AS (SELECT 'new-' || id AS id, type, project_id, tags, created_at, access_count, embedding, CASE ('0x' || id[10:11])::BIGINT % 4 WHEN 0 THEN content WHEN 1 THEN content || ' as agreed'
+    WHEN 2 THEN regexp_replace(content, '\s+\S+\s*\z', '') ELSE 'We no longer keep this: ' || content END AS content FROM fresh),
+hashes AS (SELECT id, project_id, type, substring(sha256(array_to_string({TOKENS}, ' ')), 1, 32) AS hash FROM mem WHERE content IS NOT NULL AND len({TOKENS}) > 0 AND project_id IS NOT NULL AND type IS NOT NULL),
+known_ AS (SELECT project_id, hash, type, min(id) AS existing_id FROM hashes GROUP BY 1, 2, 3),
+judged AS (SELECT off.*, existing_id FROM off LEFT JOIN known_ k ON k.project_id = off.project_id AND k.type = off.type AND k.hash = substring(sha256(array_to_string({TOKENS}, ' ')), 1, 32)),
+unknown_ AS (SELECT * FROM judged WHERE existing_id IS NULL),
+vecs AS (SELECT memory_id, project_id, embedding FROM emb UNION ALL SELECT id, project_id, embedding FROM unknown_),
+near_u AS (SELECT u.id AS new_id, v.memory_id AS other_id, {COSINE.format(a='u.embedding', b='v.embedding')} AS similarity FROM unknown_ u JOIN vecs v ON v.project_id = u.project_id AND v.memory_id <> u.id
+  QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY round(similarity, 9) DESC, v.memory_id) <= 10),
+cmp_ AS (SELECT new_id, m.id AS old_id, similarity, {sql_tokens('u.content')} AS a, {sql_tokens('m.content')} AS b FROM near_u JOIN unknown_ u ON u.id = new_id JOIN mem m ON m.id = other_id AND m.type = u.type WHERE m.content IS NOT NULL),
+verdicts AS (SELECT new_id, old_id, similarity, {VERDICT} AS verdict FROM cmp_),
+folded AS (SELECT new_id, old_id, verdict FROM verdicts WHERE verdict <> 'distinct' QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY round(similarity, 9) DESC, old_id) = 1)"""
+
+
+@query("jn_fold", f"WITH {MEM}, {EMB}, {FRESH}, {OFFERED} SELECT verdict, count(*) AS n FROM verdicts GROUP BY 1")
 def _(t):
-    new = newest_per_project(t)
-    return ingest.folds(new, t.memories, ingest.vector_neighbours(new, t.embeddings, DIM))
+    """Verdicts over all neighbours of the offered rows that are new."""
+    new = memories.duplicates_by_hash(offered(t), t.kept).where("existing_id is null").drop("existing_id")
+    new = stored(new, "offered")
+    vectors = t.embeddings.unionByName(new.select(F.col("id").alias("memory_id"), "project_id", "embedding"))
+    near = ingest.vector_neighbours(new, vectors, DIM)
+    old = t.kept.where("content is not null").select(F.col("id").alias("other_id"), F.col("content").alias("old"), F.col("type").alias("old_type"))
+    both = near.join(old, "other_id").join(new.select(F.col("id").alias("new_id"), "content", "type"), "new_id").where("type = old_type")
+    verdict = X.subsumes(X.content_tokens(F.col("content")), X.content_tokens(F.col("old")))
+    return both.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("op_fold_store")
+@query("op_fold_store", f"WITH {MEM}, {EMB}, {FRESH}, {OFFERED} SELECT new_id, old_id, verdict FROM folded")
 def _(t):
-    """The newest memory of each project as new, folded into all the others."""
-    new = newest_per_project(t)
-    again = new.withColumn("content", F.concat(F.lit("again "), "content"))
-    return ingest.folds(again, t.memories, ingest.vector_neighbours(new, t.embeddings, DIM))
+    """What the offered rows that are new are folded into."""
+    new = memories.duplicates_by_hash(offered(t), t.kept).where("existing_id is null").drop("existing_id")
+    new = stored(new, "offered")
+    vectors = t.embeddings.unionByName(new.select(F.col("id").alias("memory_id"), "project_id", "embedding"))
+    return ingest.folds(new, t.kept, ingest.vector_neighbours(new, vectors, DIM))
 
 
 def conversation_rows(t):
@@ -657,13 +689,51 @@ def _(t):
     return extract.to_memories(rows, "documents", t.now).select("id", "content", "type", "content_hash")
 
 
-@query("op_store")
+STORED = f"""again AS (SELECT id AS new_id, existing_id AS old_id, 'equivalent' AS verdict FROM judged WHERE existing_id IS NOT NULL UNION ALL SELECT new_id, old_id, verdict FROM folded),
+kept AS (SELECT * FROM unknown_ WHERE id NOT IN (SELECT new_id FROM again)),
+reads_ AS (SELECT old_id, count(*) AS n, min(off.content) FILTER (verdict = 'new_subsumes_old') AS better FROM again JOIN off ON off.id = new_id GROUP BY 1),
+after_ AS (
+  SELECT mem.id, coalesce(better, content) AS content, type, project_id, tags, created_at, access_count + coalesce(n, 0) AS access_count FROM mem LEFT JOIN reads_ ON old_id = mem.id
+  UNION ALL SELECT id, content, type, project_id, tags, created_at, access_count FROM kept),
+sem AS (SELECT id, project_id, created_at, {sql_features('content', 'tags')} AS f FROM after_ WHERE type = 'semantic' AND content IS NOT NULL AND project_id IS NOT NULL),
+last50 AS (SELECT * FROM sem QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) <= 50),
+con AS (SELECT a.id AS new_id, b.id AS old_id, {sql_contradiction('a.f', 'b.f')} AS c FROM sem a JOIN last50 b ON b.project_id = a.project_id AND b.id <> a.id WHERE a.id IN (SELECT id FROM kept)),
+sup AS (SELECT new_id, old_id FROM con WHERE c.confidence >= 0.5 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY c.confidence DESC, old_id) <= 5),
+near_k AS (SELECT n.* FROM near_u n WHERE new_id IN (SELECT id FROM kept) AND other_id IN (SELECT id FROM after_) AND (new_id, other_id) NOT IN (SELECT new_id, old_id FROM sup)),
+fl AS (SELECT new_id, CASE WHEN count(*) >= 3 THEN avg(similarity) + stddev_pop(similarity) ELSE avg(similarity) END AS floor FROM near_k GROUP BY 1),
+last10 AS (SELECT id, project_id, tags FROM after_ QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) <= 10),
+tagged AS (SELECT k.id AS new_id, r.id AS other_id FROM kept k JOIN last10 r ON r.project_id = k.project_id AND r.id <> k.id
+  WHERE len(list_intersect(list_transform(k.tags, lambda x: lower(x)), list_transform(r.tags, lambda x: lower(x)))) > 0),
+both_links AS (SELECT new_id, other_id, max(weight) AS weight FROM (
+    SELECT new_id, other_id, 0.5 AS weight FROM tagged WHERE (new_id, other_id) NOT IN (SELECT new_id, old_id FROM sup)
+    UNION ALL SELECT n.new_id, other_id, similarity FROM near_k n JOIN fl ON fl.new_id = n.new_id WHERE round(similarity, 9) >= round(floor, 9)) GROUP BY 1, 2),
+rel AS (SELECT new_id, other_id FROM both_links QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY round(weight, 9) DESC, other_id) <= 5)"""
+
+
+@query(
+    "op_store",
+    f"""WITH {MEM}, {EMB}, {FRESH}, {OFFERED}, {STORED}
+SELECT 'memories' AS what, coalesce(type, '') AS name, count(*) AS n FROM after_ GROUP BY 2 UNION ALL SELECT 'reads', '', sum(access_count)::BIGINT FROM after_
+UNION ALL SELECT 'verdict', verdict, count(*) FROM again GROUP BY 2 UNION ALL SELECT 'edges', 'supersedes', count(*) FROM sup UNION ALL SELECT 'edges', 'relates_to', count(*) FROM rel""",
+)
 def _(t):
-    """Every memory with a vector is offered again to the stored ones: all of them are known."""
-    new = t.memories.where("content is not null").join(t.embeddings.select(F.col("memory_id").alias("id"), "embedding"), "id").withColumn("id", F.concat(F.lit("new-"), "id"))
+    """The offered rows stored: known, folded either way, or new with their edges."""
     emb = t.embeddings.withColumn("created_at", t.now)
-    out = ingest.store(new, t.memories, emb, t.edges, DIM, t.now)
-    return out["memories"].groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("access_count").alias("reads"))
+    made = ingest.changes(offered(t), t.kept, emb, DIM, t.now)
+    after = t.kept.join(made["memories"].select("id"), "id", "left_anti").unionByName(made["memories"].select(*t.kept.columns))
+    n = F.count(F.lit(1)).alias("n")
+    parts = [
+        after.groupBy(F.coalesce("type", F.lit("")).alias("name")).agg(n).select(F.lit("memories").alias("what"), "name", "n"),
+        after.agg(F.sum("access_count").alias("n")).select(F.lit("reads").alias("what"), F.lit("").alias("name"), "n"),
+        made["folded"].groupBy(F.col("verdict").alias("name")).agg(n).select(F.lit("verdict").alias("what"), "name", "n"),
+        # Kinds without an edge are counted too.
+        made["edges"].select(F.col("relationship").alias("name"), F.lit(1).alias("one")).unionByName(t.spark.createDataFrame([("supersedes", 0), ("relates_to", 0)], "name string, one int"))
+        .groupBy("name").agg(F.sum("one").alias("n")).select(F.lit("edges").alias("what"), "name", "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # --- sets -------------------------------------------------------------------------------------------
@@ -714,13 +784,32 @@ def _(t):
     return evaluate.nearest_rank(t.raw("events"), "event_type", "value", 0.95)
 
 
+#: Every semantic memory is there a second time under another id, as after two imports of one source.
+TWICE = "one_ AS (SELECT * FROM mem), mem2 AS (SELECT * FROM one_ UNION ALL SELECT * REPLACE ('z-' || id AS id) FROM one_ WHERE type = 'semantic')"
+GROUPS2 = "g AS (SELECT project_id, content, count(*) AS n, arg_max(id, (created_at, id)) AS newest FROM mem2 WHERE type = 'semantic' AND content IS NOT NULL AND project_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)"
 GROUPS = "g AS (SELECT project_id, content, count(*) AS n, arg_max(id, (created_at, id)) AS newest FROM mem WHERE type = 'semantic' AND content IS NOT NULL AND project_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)"
-MERGE_SQL = f"WITH {MEM}, {GROUPS} SELECT g.newest AS from_id, m.id AS to_id FROM g JOIN mem m ON m.project_id = g.project_id AND m.content = g.content AND m.type = 'semantic' AND m.id <> g.newest"
-for _name in ("op_merge_phase", "agg_dupgroups", "win_newest"):
+MERGE_SQL = f"WITH {MEM}, {TWICE}, {GROUPS2} SELECT g.newest AS from_id, m.id AS to_id FROM g JOIN mem2 m ON m.project_id = g.project_id AND m.content = g.content AND m.type = 'semantic' AND m.id <> g.newest"
 
-    @query(_name, MERGE_SQL)
-    def _(t):
-        return maintain.merges(t.memories).select("from_id", "to_id")
+
+def told_twice(t):
+    return t.memories.unionByName(t.memories.where("type = 'semantic'").withColumn("id", F.concat(F.lit("z-"), "id")))
+
+
+@query("op_merge_phase", MERGE_SQL)
+def _(t):
+    return maintain.merges(told_twice(t)).select("from_id", "to_id")
+
+
+@query("agg_dupgroups", f"WITH {MEM}, {TWICE}, {GROUPS2} SELECT project_id, md5(content) AS digest, n, newest FROM g")
+def _(t):
+    rows = told_twice(t).where("type = 'semantic' and content is not null and project_id is not null")
+    g = rows.groupBy("project_id", "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("created_at", "id"))["id"].alias("newest")).where("n > 1")
+    return g.select("project_id", F.md5("content").alias("digest"), "n", "newest")
+
+
+@query("win_newest", f"WITH {MEM}, {TWICE}, {GROUPS2} SELECT newest, count(*) AS merged FROM g JOIN mem2 m ON m.project_id = g.project_id AND m.content = g.content AND m.type = 'semantic' AND m.id <> g.newest GROUP BY 1")
+def _(t):
+    return maintain.merges(told_twice(t)).groupBy(F.col("from_id").alias("newest")).agg(F.count(F.lit(1)).alias("merged"))
 
 
 @query("op_decay_phase", f"WITH {MEM} SELECT id, round({DECAY}, 6)::DOUBLE AS decay_score FROM mem")

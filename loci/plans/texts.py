@@ -168,6 +168,11 @@ def _(t):
 _POL = f"(len(list_filter({{}}, lambda w: w IN ({quoted(L.POLARITY)}))) > 0)"
 
 
+#: What the token lists a (new) and b (old) say of each other.
+VERDICT = f"""CASE WHEN len(a) < 3 OR len(b) < 3 OR {_POL.replace('{}', 'a')} <> {_POL.replace('{}', 'b')} THEN 'distinct' WHEN a = b THEN 'equivalent'
+  WHEN {_inside('b', 'a')} THEN 'new_subsumes_old' WHEN {_inside('a', 'b')} THEN 'old_subsumes_new' ELSE 'distinct' END"""
+
+
 @query(
     "txt_subsumes",
     f"""WITH {MEM}, {EDG}, {_SUB}, w AS (SELECT DISTINCT new_id, old_id, {sql_tokens('new')} AS a, {sql_tokens('old')} AS b FROM pairs)
