@@ -102,6 +102,16 @@ WITH words AS (
 tf AS (SELECT id, term, count(*) AS n FROM words GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS m FROM tf GROUP BY 1)
 SELECT id AS memory_id, term FROM tf JOIN df USING (term) WHERE n >= 3 AND m BETWEEN 2 AND 10""",
+    "p8_phrases": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+tests AS (
+  SELECT item_id, 'passage' AS field, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items
+  UNION ALL SELECT item_id, 'question', regexp_extract_all(lower(question), '[\p{L}\p{N}]+') FROM eval_items),
+a AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM docs WHERE len(w) >= 12)),
+b AS (SELECT DISTINCT item_id, field, j, array_to_string(w[j:j + 11], ' ') AS g FROM (SELECT item_id, field, w, unnest(range(1, len(w) - 10)) AS j FROM tests WHERE len(w) >= 12)),
+hits AS (SELECT doc_id, item_id, field, i - j AS base, j, j - row_number() OVER (PARTITION BY doc_id, item_id, field, i - j ORDER BY j) AS run FROM a JOIN b USING (g)),
+runs AS (SELECT doc_id, item_id, field, count(*) + 11 AS words FROM hits GROUP BY doc_id, item_id, field, base, run)
+SELECT doc_id, item_id, field, max(words) AS words FROM runs GROUP BY 1, 2, 3""",
     "p8_found": r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 tests AS (
