@@ -12,7 +12,7 @@ from loci.functions import scoring as S
 from loci.functions import text as X
 from loci.operators import evaluate, extract, graph, ingest, maintain, memories, profile, retrieve
 from loci.plans.base import ASKED, COSINE, DIM, EDG, EMB, MEM, MEN, SQL_NOW, posted, query, sql_keywords, sql_tokens
-from loci.plans.texts import DECAY, HOURS, VERDICT, final_sql, sig, sql_contradiction, sql_features
+from loci.plans.texts import DECAY, HOURS, UUID5, VERDICT, final_sql, sig, sql_contradiction, sql_features
 from loci.runtime import stored
 from loci.sources import conversations
 
@@ -85,7 +85,10 @@ def _(t):
     return t.spark.range(1).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_turns")
+@query(
+    "src_turns",
+    f"SELECT {UUID5.format(namespace=conversations.NAMESPACE, name="conversation || '/' || item_id::VARCHAR")} AS id, conversation, passage AS content, epoch_us(TIMESTAMPTZ '2026-08-30 10:00:00+00') + 60000000 * (item_id % 7 + 1) AS created_us FROM eval_items",
+)
 def _(t):
     items = t.raw("eval_items").select("conversation", F.col("item_id").cast("string").alias("dia_id"), (F.col("item_id") % 7 + 1).cast("int").alias("session"), F.col("passage").alias("content"))
     return conversations.turns_corpus(items).select("id", "conversation", "content", micros())
@@ -174,7 +177,13 @@ def _(t):
     return runs.groupBy(F.col("user_id").cast("string").alias("agent_id")).agg(F.sum("events").alias("events"))
 
 
-@query("sink_digest")
+@query(
+    "sink_digest",
+    """WITH v AS (SELECT trace_id, memory_id, max(vector) AS v FROM trace_candidates GROUP BY 1, 2),
+r AS (SELECT trace_id, memory_id, row_number() OVER (PARTITION BY trace_id ORDER BY v DESC NULLS LAST, memory_id) AS n FROM v),
+h AS (SELECT trace_id, sha256(trace_id::VARCHAR || ':' || string_agg(memory_id, ',' ORDER BY n)) AS h FROM r GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY trace_id)) AS digest FROM h""",
+)
 def _(t):
     return evaluate.digest(t.raw("trace_candidates").groupBy("trace_id", "memory_id").agg(F.max("vector").alias("v")).select(
         F.col("trace_id").alias("question_id"), F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc_nulls_last("v"), "memory_id")).alias("rank"), F.col("memory_id").alias("id")))
@@ -757,11 +766,15 @@ def _(t):
     return pairs(t).select("new_id", "old_id", F.round(X.tag_ratio(F.col("new_tags"), F.col("old_tags")), 6).cast("double").alias("s"))
 
 
-@query("set_tags_union")
+@query(
+    "set_tags_union",
+    f"""WITH {MEM}, {EDG}, {PAIRS}, l AS (SELECT new_id, old_id, list_filter(list_concat(nt, ot), lambda x: trim(x) <> '') AS g FROM prs)
+SELECT new_id, old_id, CASE WHEN len(g) > 0 THEN array_to_string(list_filter(g, lambda x, i: len(list_filter(g[1:i - 1], lambda y: lower(y) = lower(x))) = 0), ',') ELSE '' END AS tags FROM l""",
+)
 def _(t):
     from loci.plans.texts import pairs
 
-    return pairs(t).select("new_id", "old_id", F.array_join(X.tags_union(F.col("new_tags"), F.col("old_tags")), ",").alias("tags"))
+    return pairs(t).select("new_id", "old_id", F.coalesce(F.array_join(X.tags_union(F.col("new_tags"), F.col("old_tags")), ","), F.lit("")).alias("tags"))
 
 
 # --- aggregations -------------------------------------------------------------------------------------
@@ -930,21 +943,33 @@ FROM x LEFT JOIN sc ON sc.question_id = x.question_id GROUP BY 1""")
         return m.select("category", "n", "unscorable", *[F.round(c, 6).alias(c) for c in ("hit", "recall", "mrr", "ndcg")])
 
 
-@query("op_trace")
+@query("op_trace", f"WITH {EVAL} SELECT question_id, evidence_key AS id, r AS vector_rank, r AS final_rank FROM ev")
 def _(t):
     ranked, _, evidence, _ = evaluation(t)
     docs = evidence.select("question_id", F.col("evidence_key").alias("id"))
-    return evaluate.trace(ranked, {"vector": ranked}, docs)
+    long = lambda c: F.col(c).cast("bigint").alias(c)
+    return evaluate.trace(ranked, {"vector": ranked}, docs).select("question_id", "id", long("vector_rank"), long("final_rank"))
 
 
-@query("sink_report")
+@query(
+    "sink_report",
+    f"""WITH {EVAL}, q AS (SELECT DISTINCT trace_id AS question_id, CASE WHEN trace_id % 5 = 0 THEN 'adversarial' ELSE 'single-hop' END AS category FROM ok),
+x AS (SELECT category, question_id FROM q UNION ALL SELECT 'all', question_id FROM q UNION ALL SELECT 'answerable', question_id FROM q WHERE category <> 'adversarial'),
+m AS (SELECT category, count(evidence) AS n, avg(hit) AS hit, avg(recall) AS recall, avg(full_) AS full_, avg(mrr) AS mrr, avg(ndcg) AS ndcg FROM x LEFT JOIN sc ON sc.question_id = x.question_id GROUP BY 1)
+SELECT rpad(category, 12, ' ') || '  ' || lpad(n::VARCHAR, 5, ' ') || '  ' || format('{{:.3f}}', hit) || '  ' || format('{{:.3f}}', recall) || '  ' || format('{{:.3f}}', full_) || '  ' || format('{{:.3f}}', mrr) || '  ' || format('{{:.3f}}', ndcg) AS line FROM m""",
+)
 def _(t):
     ranked, sources, evidence, questions = evaluation(t)
     m = evaluate.aggregate(evaluate.question_scores(evaluate.first_ranks(ranked, sources, evidence)), questions)
     return m.select(evaluate.report_lines(m).alias("line"))
 
 
-@query("op_align_labels")
+@query(
+    "op_align_labels",
+    f"""WITH a AS (SELECT item_id AS id, conversation, {sql_tokens('question')} AS w FROM eval_items WHERE question IS NOT NULL), b AS (SELECT item_id::VARCHAR AS turn_key, conversation, {sql_tokens('passage')} AS w FROM eval_items WHERE passage IS NOT NULL),
+s AS (SELECT id, turn_key, len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / len(list_distinct(a.w)) AS share FROM a JOIN b USING (conversation))
+SELECT id, turn_key, round(share, 6)::DOUBLE AS share FROM s WHERE share > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY share DESC, turn_key) = 1""",
+)
 def _(t):
     items = t.raw("eval_items")
     turns = items.select(F.col("item_id").cast("string").alias("turn_key"), "conversation", X.content_tokens(F.col("passage")).alias("words"))

@@ -8,7 +8,7 @@ from loci.functions import lists as L
 from loci.functions import scoring as S
 from loci.functions import text as X
 from loci.functions import vector as V
-from loci.functions.entities import entities
+from loci.functions.entities import entities, plausible
 from loci.operators import extract
 from loci.plans.base import ASKED, COSINE, EDG, EMB, MEM, SQL_NOW, query, quoted, sql_keywords, sql_split, sql_tokens
 from loci.sources import conversations
@@ -123,10 +123,20 @@ def _(t):
     return t.memories.where("content is not null").select("id", entities(F.col("content")).alias("entities"))
 
 
-@query("txt_plausible")
+_DATES, _COUNTS = quoted(L.TEMPORAL), quoted(L.NUMBER_WORDS)
+
+
+@query(
+    "txt_plausible",
+    rf"""WITH {MEM}, w AS (SELECT DISTINCT unnest(regexp_split_to_array(content, '[ \n]+')) AS name FROM mem WHERE content IS NOT NULL)
+SELECT name, length(name) >= 2 AND strlen(name) <= 80 AND trim(lower(name), '.,;:!?"''') NOT IN ({_DATES})
+  AND NOT (trim(lower(name), '.,;:!?%$') IN ({_COUNTS}) OR regexp_full_match(trim(lower(name), '.,;:!?%$'), '[0-9]*')) AND regexp_matches(name, '[A-Za-z]|[^\x00-\x7f]') AS ok
+FROM w WHERE regexp_full_match(name, '[!-~]+')""",
+)
 def _(t):
-    named = extract.memory_entities(t.memories.where("content is not null"))
-    return named.select(F.explode("entities").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """Every different word of the memories as a name."""
+    words = t.memories.where("content is not null").select(F.explode(F.split("content", "[ \n]+")).alias("name")).distinct().where(F.col("name").rlike("^[!-~]+$") & ~F.col("name").contains("\n"))
+    return words.select("name", F.pandas_udf(lambda s: s.map(plausible), "boolean")("name").alias("ok"))
 
 
 _SUB = """
@@ -452,7 +462,11 @@ def _(t):
     return t.memories.select("id", X.json_tags(X.parsed_tags(X.json_tags(F.col("tags")))).alias("tags"))
 
 
-@query("id_uuid5")
+UUID5 = """(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17:17])::INT % 4) + 1, 1) || h[18:20] || '-' || h[21:32]
+  FROM (SELECT sha1(unhex(replace('{namespace}', '-', '')) || encode({name})) AS h))"""
+
+
+@query("id_uuid5", f"SELECT item_id, {UUID5.format(namespace=conversations.NAMESPACE, name="conversation || '/' || item_id::VARCHAR")} AS uuid FROM eval_items WHERE conversation IS NOT NULL")
 def _(t):
     return t.raw("eval_items").select("item_id", conversations.uuid5(conversations.NAMESPACE, X.turn_key(F.col("conversation"), F.col("item_id").cast("string"))).alias("uuid"))
 

@@ -162,3 +162,48 @@ def test_embedding_provider_survives_bad_texts(spark):
 
     rows = spark.createDataFrame([("1", "abc"), ("2", "bad"), ("3", None)], "id string, text string")
     assert {r["id"]: r["embedding"] for r in embed_with(rows, Picky).collect()} == {"1": [3.0], "2": None, "3": [0.0]}
+
+
+def _files(engine, name):
+    return {os.path.join(d, f) for d, _, fs in os.walk(f"{engine.tables.path}/{name}") for f in fs if f.endswith(".parquet")}
+
+
+def test_one_row_writes_its_bucket_only(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), EngineConfig(dim=64), now=CLOCK)
+    kind = "content string, type string, project_id string"
+    e.store(spark.createDataFrame([(f"The service number {i} uses Postgres for storage", "semantic", f"p{i}") for i in range(6)], kind))
+    before = {n: _files(e, n) for n in ("memories", "embeddings", "edges", "entities", "mentions")}
+    # New, then the same with more words: the stored row is updated by a row of its bucket.
+    e.store(spark.createDataFrame([("Maria Lopez moved to the Atlas team", "semantic", "p1")], kind))
+    new = _files(e, "memories") - before["memories"]
+    assert len({os.path.basename(os.path.dirname(f)) for f in new}) == 1 and spark.read.parquet(*new).count() == 1
+    assert all(before[n] <= _files(e, n) for n in before)
+    e.store(spark.createDataFrame([("the service number 1 uses postgres for storage!", "semantic", "p1")], kind))
+    rows = {r["project_id"]: r for r in e.tables.read("memories").where("content like '%number%'").collect()}
+    assert len(rows) == 6 and rows["p1"]["access_count"] == 1 and rows["p2"]["access_count"] == 0
+    total = e.tables.read("memories").count()
+    e.consolidate()
+    assert len(e.tables.snapshot().folders["memories"]) == 1 and e.tables.read("memories").count() == total
+
+
+def test_commits_are_whole_and_exclusive(spark, tmp_path):
+    from loci.sources.store import Conflict, Store
+
+    s = Store(spark, str(tmp_path / "s")).init()
+    row = lambda i, n: spark.createDataFrame([(i, "p", None, None, None)], "id string, project_id string, agent_id string, started_at timestamp, ended_at timestamp").withColumn("agent_id", F.lit(n))
+    at = s.snapshot()
+    s.change(at, {"sessions": row("a", "one")})
+    with pytest.raises(Conflict):
+        s.change(at, {"sessions": row("b", "late")})
+    assert {r["id"]: r["agent_id"] for r in s.read("sessions").collect()} == {"a": "one"}
+    # A reader keeps its snapshot; a half-written commit file is passed over.
+    then = s.snapshot()
+    s.change(then, {"sessions": row("a", "two").unionByName(row("c", "three"))}, {})
+    assert {r["agent_id"] for r in s.read("sessions", then).collect()} == {"one"}
+    with open(f"{s.path}/_commits/{9:010d}.json", "w") as f:
+        f.write('{"tables": {"sess')
+    assert {r["agent_id"] for r in s.read("sessions").collect()} == {"two", "three"}
+    os.remove(f"{s.path}/_commits/{9:010d}.json")
+    s.change(s.snapshot(), {}, {"sessions": row("c", "x").select("id")})
+    assert {r["id"] for r in s.read("sessions").collect()} == {"a"}
+    assert s.read("memories").count() == 0 and s.ping()
