@@ -82,6 +82,25 @@ pairs AS (
   WHERE ('0x' || a.memory_id[1:8])::BIGINT % 100 = 0)
 SELECT a AS memory_id, b AS neighbour_id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rank
 FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5""",
+    "p2_neighbours": f"""
+WITH {_USABLE},
+pairs AS (
+  SELECT a.memory_id AS a, b.memory_id AS b, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS c
+  FROM usable a JOIN usable b ON a.memory_id <> b.memory_id)
+SELECT a AS memory_id, b AS neighbour_id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS rank
+FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 5""",
+    "p3_groups": f"""
+WITH RECURSIVE sets AS (
+  SELECT id, list_distinct({_WORDS}) AS w FROM (SELECT id, any_value(content) AS content FROM memories WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id)),
+words AS (SELECT id, len(w) AS n, unnest(w) AS word FROM sets WHERE len(w) > 0),
+shared AS (
+  SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+  FROM words a JOIN words b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM shared WHERE k >= 0.7 * (na + nb - k) UNION ALL SELECT b, a FROM shared WHERE k >= 0.7 * (na + nb - k)),
+reach AS (SELECT DISTINCT id, id AS to_ FROM memories WHERE id IS NOT NULL UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.to_)
+SELECT id, min(to_) AS group_id FROM reach GROUP BY id""",
+    "p7_found": r"""
+SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) > 4096""",
     "p3_found": f"""
 WITH sets AS (
   SELECT id, list_distinct({_WORDS}) AS w FROM (SELECT id, any_value(content) AS content FROM memories WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loci.llm import leakage, leximin, neardup, packing, parsimony, pii, truncation, vectors
 from loci.runtime import table
@@ -35,8 +36,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every usable vector; cosines that agree to nine digits are ordered by id."""
     near = vectors.nearest_of_all(table(spark, d, "memory_embeddings", "memory_id", "embedding"))
-    return near.select(F.col("id").alias("memory_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other"))
+    return near.select(F.col("id").alias("memory_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), rank.cast("bigint").alias("rank"))
 
 
 def p2_nearest_of_queries(spark: SparkSession, d: str) -> DataFrame:
