@@ -178,3 +178,20 @@ def test_config_names_every_problem():
         EngineConfig(dim=0, fusion="max", half_life_days=0).validate()
     assert "dim" in str(e.value) and "fusion" in str(e.value) and "half_life" in str(e.value)
     assert top_k(0) == 5 and top_k(500) == 200 and pools(5) == (50, 50, 25) and pools(1000) == (500, 200, 100)
+
+
+def test_names_as_written_and_one_opener_dropped():
+    from loci.functions.entities import find_entities
+
+    assert find_entities("The Bank of England refused. Caroline's dog met Caroline") == ["Bank of England", "Caroline's"]
+    assert find_entities('we read "Charlotte\'s Web" with Maria on Monday') == ["Charlotte's Web", "Maria"]
+    assert find_entities("In May 42 people came") == [] and find_entities("") == [] and find_entities(None) == []
+
+
+def test_triples_leave_out_words_of_one_byte(spark):
+    rows = spark.createDataFrame([("caroline has a dog now",), ("caroline has dog now",)], "t string").select(X.triples(F.col("t")).alias("r")).collect()
+    assert [(t["verb"], t["subject"], list(t["object"])) for r in rows for t in r["r"]] == [("has", "caroline", ["dog", "now"])] * 2
+
+
+def test_topics_trim_slashes_and_dashes(spark):
+    assert spark.createDataFrame([("docker/ and go- with (redis)",)], "t string").select(X.topics(F.col("t")).alias("r")).first()["r"] == ["docker", "go", "redis"]
